@@ -15,6 +15,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), max_bits=3, shingle_words=3, seed=42)
 
 
+def op2_isomedia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import isomedia
+
+    return isomedia.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import store, warc
+
+    return warc.captures(_table(spark, sf_dir, "pages"), store.new_path(spark, "warc"), min_revisit_bytes=0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,5 +35,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_packing": op9_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_isomedia": op2_isomedia, "op5_warc": op5_warc, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {}
