@@ -21,12 +21,33 @@ def op2_isomedia(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import langid
+
+    return langid.identify(_table(spark, sf_dir, "documents"), folds=4, held=2)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import store, warc
 
     return warc.captures(_table(spark, sf_dir, "pages"), store.new_path(spark, "warc"), min_revisit_bytes=0)
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import urlfilter
+
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import toxicity
+
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held=0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,5 +56,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_isomedia": op2_isomedia, "op5_warc": op5_warc, "op9_packing": op9_packing}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import quality
+
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), at_least=1, threshold=0.5)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_isomedia": op2_isomedia, "op3_langid": op3_langid, "op5_warc": op5_warc, "op7_urlfilter": op7_urlfilter, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
