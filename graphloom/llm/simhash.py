@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.store import components, drop, keep
 
 SMALL_LIST = 24
+#: Up to so many lists of three or more, 16 bytes each, are broadcast; more are joined by shuffling.
+BROADCAST_LISTS = 1_000_000
 #: Shingles hashed at a time; a long text is taken in pieces of this many words.
 PIECE_WORDS = 1 << 16
 
@@ -112,7 +114,10 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     shared = 8 - max_bits
     postings = _postings(fps, shared)
     lists = keep(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "lists")
-    longer = postings.join(lists.where("n > 2").select("list", "n"), "list")
+    several = lists.where("n > 2").select("list", "n")
+    if several.count() <= BROADCAST_LISTS:
+        several = F.broadcast(several)  # then the postings needn't be shuffled again
+    longer = keep(postings.join(several, "list").select("list", "n", "fp"), "longer")
     members = longer.where(F.col("n") <= SMALL_LIST).groupBy("list").agg(F.array_sort(F.collect_list("fp")).alias("m"))
     met = members.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
     pairs = lists.where("n = 2").select("a", "b").union(met)
