@@ -33,6 +33,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(_table(spark, sf_dir, "pages"), store.new_path(spark, "warc"), min_revisit_bytes=0)
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import decontam
+
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -62,5 +68,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), at_least=1, threshold=0.5)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_isomedia": op2_isomedia, "op3_langid": op3_langid, "op5_warc": op5_warc, "op7_urlfilter": op7_urlfilter, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_quality": op10_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_isomedia": op2_isomedia, "op3_langid": op3_langid, "op5_warc": op5_warc, "op6_decontam": op6_decontam, "op7_urlfilter": op7_urlfilter, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
