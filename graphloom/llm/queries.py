@@ -27,6 +27,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), folds=4, held=2)
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import linededup
+
+    return linededup.dedup(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import store, warc
 
@@ -68,5 +74,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), at_least=1, threshold=0.5)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_isomedia": op2_isomedia, "op3_langid": op3_langid, "op5_warc": op5_warc, "op6_decontam": op6_decontam, "op7_urlfilter": op7_urlfilter, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_quality": op10_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_isomedia": op2_isomedia, "op3_langid": op3_langid, "op4_linededup": op4_linededup, "op5_warc": op5_warc, "op6_decontam": op6_decontam, "op7_urlfilter": op7_urlfilter, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
