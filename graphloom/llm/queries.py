@@ -36,7 +36,7 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import store, warc
 
-    return warc.captures(_table(spark, sf_dir, "pages"), store.new_path(spark, "warc"), min_revisit_bytes=0)
+    return warc.captures(_table(spark, sf_dir, "pages"), store.new_path(spark, "warc"), min_revisit_bytes=0, compression="gzip")
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
