@@ -84,7 +84,7 @@ class Model:
         return _sigmoid(score[:, None] - self.cuts[None, :])
 
 
-def fit(texts: list[str], graded: list[int], steps: int = STEPS, decay: float = 1e-5) -> Model:
+def fit(texts: list[str], graded: list[int], steps: int = STEPS, decay: float = 1e-3) -> Model:
     """Maximum likelihood with AdaGrad steps; thresholds stay in order as sums of positive gaps.  Grades count equally,
     however many documents each has.  With fewer than two grades every document gets the one there is."""
     grades = sorted(set(graded))
