@@ -16,7 +16,6 @@ from graphloom.functions import text as T
 from graphloom.operators import graph
 from graphloom.sources.shared import keep
 
-ONE = F.lit(1)
 
 
 @dataclass
@@ -45,7 +44,7 @@ class Metrics:
 
     def _per(self, scope: str, counted: DataFrame, value: Column | None = None) -> DataFrame:
         """One row for each node, 0 where ``counted (node)`` has none."""
-        some = counted.groupBy("node").agg((F.count(ONE) if value is None else value).cast("long").alias("value"))
+        some = counted.groupBy("node").agg((F.count("*") if value is None else value).cast("long").alias("value"))
         return self.nodes(scope).join(some, "node", "left").select("node", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
 
     def _lift(self, per_function: DataFrame, how: Callable[[str], Column]) -> DataFrame:
@@ -98,7 +97,7 @@ class Metrics:
         """Includes; a file's inclusion of itself is taken out once."""
         own = self.code.include.select("file_id", F.when(F.col("file_id") == F.col("inc_file_id"), 1).otherwise(0).alias("own"))
         met = self.code.module.select(F.col("mod_id").alias("node"), "file_id").join(own, "file_id")
-        return self._per("module", met, F.count(ONE) - F.max("own"))
+        return self._per("module", met, F.count("*") - F.max("own"))
 
     def imported_modules(self, scope: str = "module") -> DataFrame:
         forms = self.code.form.where("type = 'import'").select("file_id", F.col("text").alias("imported"))
@@ -204,7 +203,7 @@ class Metrics:
         return out if scope == "function" else self._lift(out, F.sum)
 
     def _branches(self) -> DataFrame:
-        return self.code.clause.where("owner_kind = 'expr'").groupBy(F.col("owner_id").alias("expr_id")).agg(F.count(ONE).alias("n"))
+        return self.code.clause.where("owner_kind = 'expr'").groupBy(F.col("owner_id").alias("expr_id")).agg(F.count("*").alias("n"))
 
     def mccabe(self, scope: str) -> DataFrame:
         """(clauses - 1) + what every if and case adds + 1; a case has a head clause that isn't a branch."""

@@ -40,7 +40,7 @@ def rename_mod(t: Tables, mod_id: int, name: str) -> Tables:
     _free(t["module"], (F.col("name") == name) & (F.col("mod_id") != mod_id), name)
     owner = t["module"].where(F.col("mod_id") == mod_id).select("file_id")
     files = t["file"].join(owner.withColumn("_own", F.lit(True)), "file_id", "left")
-    path = F.when(F.col("_own"), F.regexp_replace("path", r"[^/]*(\.[^./]*)?$", name + "$1")).otherwise(F.col("path"))
+    path = F.when(F.col("_own"), F.regexp_replace("path", r"[^/.]+(\.[^/]*)?$", name + "$1")).otherwise(F.col("path"))
     return t | {"module": _set(t["module"], F.col("mod_id") == mod_id, name=name), "file": files.withColumn("path", path).drop("_own")}
 
 

@@ -42,7 +42,7 @@ class Catalog:
     #: initial selection to (entity, nodes)
     starts: dict[str, tuple[str, Callable[[], DataFrame]]] = field(default_factory=dict)
 
-    def entity(self, name: str, table: DataFrame, key: str, start: str | None = None, **properties: str) -> Entity:
+    def entity(self, name: str, table: DataFrame, key: str, start: str | None = None, /, **properties: str) -> Entity:
         out = self.entities[name] = Entity(name, table, key, {p: F.col(c) for p, c in properties.items()})
         if start:
             self.starts[start] = (name, out.nodes)

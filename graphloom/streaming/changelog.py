@@ -45,4 +45,4 @@ def upsert(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
 def throttled(progress: DataFrame, seconds: int = 3) -> DataFrame:
     """One message of each operation for each stretch of seconds, the last: ``progress (op, file, done, total, ts)``."""
-    return progress.groupBy("op", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max_by(F.struct("file", "done", "total"), "ts").alias("m")).select("op", F.col("w.start").alias("ts"), "m.*")
+    return progress.groupBy("op", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max_by(F.struct("file", "done", "total"), F.struct("ts", "done")).alias("m")).select("op", F.col("w.start").alias("ts"), "m.*")
