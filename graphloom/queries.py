@@ -391,7 +391,7 @@ LOG = "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS file, CASE event_type
 LATEST = f"SELECT file, arg_max(event, seq) AS event, arg_max(arg, seq) AS arg, max(seq) AS seq FROM ({LOG}) GROUP BY 1"
 query("e01_latest", LATEST)(lambda s: changelog.latest(log(s)))
 query("e02_present", f"SELECT file, false AS error FROM ({LATEST}) WHERE event <> 'dropped'")(lambda s: changelog.present(log(s)).toDF("file", "error"))
-query("e03_throttled", "SELECT event_type AS op, arg_max(event_id, (ts, event_id)) AS done FROM events GROUP BY event_type, epoch(ts)::BIGINT // 3600")(lambda s: changelog.throttled(s.t("events").select(F.col("event_type").alias("op"), F.lit("f").alias("file"), F.col("event_id").alias("done"), F.lit(0).alias("total"), "ts"), 3600).select("op", "done"))
+query("e03_throttled", "SELECT event_type AS op, arg_max(event_id, (ts, event_id)) AS done FROM events GROUP BY event_type, CAST(floor(epoch(ts)) AS BIGINT) // 3600")(lambda s: changelog.throttled(s.t("events").select(F.col("event_type").alias("op"), F.lit("f").alias("file"), F.col("event_id").alias("done"), F.lit(0).alias("total"), "ts"), 3600).select("op", "done"))
 
 
 def streamed(s: Star) -> DataFrame:

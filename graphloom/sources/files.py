@@ -10,10 +10,10 @@ from graphloom.functions.text import dirname
 
 def add(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.erl") -> DataFrame:
     """``(file_id, kind, path, text)`` of a file, or of the matching files of a directory.  Ids are hashes of paths."""
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    rows = reader.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    rows = reader.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     return rows.select(F.xxhash64("path").alias("file_id"), F.when(F.endswith("path", F.lit(".hrl")), "header").otherwise("module").alias("kind"), "path", "text")
 
 
