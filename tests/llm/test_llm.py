@@ -192,7 +192,8 @@ def slow_lines(rows, t=0.8):
     return gone
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("style", ["arrow", "native"])
+def test_lines(spark, style):
     rng = random.Random(2)
     pool = [words(rng, rng.choice([1, 3, 5, 8, 20, 60])) for _ in range(40)]
 
@@ -206,7 +207,7 @@ def test_lines(spark):
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, pool[0] + "\n" + pool[0])]
     want = slow_lines(rows)
     docs = frame(spark, rows)
-    got = {r["doc_id"]: r for r in linededup.dedup(docs).collect()}
+    got = {r["doc_id"]: r for r in linededup.dedup(docs, style=style).collect()}
     for i, text in rows:
         if text is None:
             assert got[i]["text"] is None
@@ -221,8 +222,10 @@ def test_lines_odd_tables(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "c"), (1, "a b"), (1, "a b"), (2, "")]
 
 
-def test_lines_is_native(spark):
-    plan = linededup.dedup(frame(spark, [(1, "a b"), (2, "a b")]))._jdf.queryExecution().executedPlan().toString()
+def test_native_lines_run_no_python(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "_set_rows", None)
+    monkeypatch.setattr(linededup, "_counted", None)
+    plan = linededup.dedup(frame(spark, [(1, "a b"), (2, "a b")]), style="native")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
