@@ -7,6 +7,7 @@ missing (tests, a laptop) a temporary folder takes its place.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,13 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.  It does so for plans that the driver's JVM has found to be
+    garbage, and a driver with little to do collects its garbage too rarely for the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
     return row["n"], row["s"]
