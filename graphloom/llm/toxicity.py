@@ -28,13 +28,14 @@ from graphloom.llm.features import crc32_of_id
 BITS = 19
 PREFIXES = (4, 5, 6)
 #: Bounds of the training sample: documents of each label, and characters of each document.
-SAMPLE_DOCS = 2500
-SAMPLE_CHARS = 12_000
+SAMPLE_DOCS = 1500
+SAMPLE_CHARS = 8_000
 #: A feature marks toxic words if it is in at least so many toxic documents, so many times more often than in clean
 #: ones, and its log-likelihood ratio is at least so large.
 SUPPORT, RATIO, EVIDENCE = 3, 15.0, 16.0
 STEPS = 30
 LIMIT = 30.0
+PART_WORDS = 1 << 17
 
 
 def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, block: int = 512) -> np.ndarray:
@@ -77,6 +78,12 @@ class Field:
         n = len(score)
         if not n:
             return score, score, score
+        if n > 2 * PART_WORDS:  # in parts at row borders, for the sake of memory
+            rows = np.flatnonzero(first)
+            cuts = np.unique(np.append(rows[np.searchsorted(rows, np.arange(PART_WORDS, n - PART_WORDS, PART_WORDS), side="right") - 1], [0, n]))
+            if len(cuts) > 2:
+                parts = [self.marginals(score[a:b], first[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
         w = np.exp(np.clip(score, -LIMIT, LIMIT))
         (oo, ot), (to, tt) = np.exp(self.move)
         zero, one = np.zeros(n), np.ones(n)
@@ -122,7 +129,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     parts = []
     for row0, raw, offsets in features.slices(pa.array([(t or "")[:SAMPLE_CHARS] for t in texts], pa.string()), lower=True):
         _, _, row, index = indices(raw, offsets)
-        parts.append((row + row0, index))
+        parts.append(((row + row0).astype(np.int32), index))
     if not parts or not 0 < label.sum() < len(label):
         field.move[:] = 0
         field.shift, field.start = -5.0, -LIMIT
@@ -132,10 +139,13 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     bounds = np.searchsorted(row, np.arange(len(texts) + 1))
     alone = _distinct_documents([index[a:b, 0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
     # In how many toxic and clean documents is each feature?
-    pairs = np.unique((row[:, None].astype(np.int64) << BITS | index)[alone[row]].reshape(-1))
-    what, where = pairs & (1 << BITS) - 1, pairs >> BITS
-    in_toxic = np.bincount(what, label[where], 1 << BITS)
-    in_clean = np.bincount(what, 1 - label[where], 1 << BITS)
+    in_toxic, in_clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for some, found in parts:
+        pairs = np.unique((some[:, None].astype(np.int64) << BITS | found)[alone[some]].reshape(-1))
+        what, where = pairs & (1 << BITS) - 1, pairs >> BITS
+        in_toxic += np.bincount(what, label[where], 1 << BITS)
+        in_clean += np.bincount(what, 1 - label[where], 1 << BITS)
+    del parts
     n1, n0 = max(1, int(label[alone].sum())), max(1, int((1 - label[alone]).sum()))
     with np.errstate(divide="ignore", invalid="ignore"):
         share = (in_toxic + in_clean) / (n1 + n0)
@@ -144,14 +154,13 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     y = (stands_out[index].any(axis=1) & (label[row] == 1)).astype(float)
     # Words of toxic documents decide the rest; of the clean documents all words count.
     first = np.append(True, row[1:] != row[:-1])
-    flat = index.reshape(-1)
     squares = np.full(1 << BITS, 1e-6)
     moved = np.full(5, 1e-6)
     field.weight[:] = -1.0
     same = ~first[1:]
     for _ in range(steps):
         p, ahead, back = field.marginals(field.weight[index].sum(axis=1), first)
-        g = np.bincount(flat, np.repeat(p - y, index.shape[1]), 1 << BITS) + 0.02 * field.weight
+        g = sum(np.bincount(index[:, k], p - y, 1 << BITS) for k in range(index.shape[1])) + 0.02 * field.weight
         squares += g * g
         field.weight -= (1.0 * g / np.sqrt(squares)).astype(np.float32)
         w = np.exp(np.clip(field.weight[index].sum(axis=1), -LIMIT, LIMIT))[1:]
@@ -225,13 +234,10 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, training, most: int
     """At most ``most`` labelled documents of each label, those whose ids hash lowest, as ``(label, text)`` rows;
     ``training`` is the condition on ``doc_id``."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(training).where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
-    kinds = [r["label"] for r in marks.select("label").distinct().limit(64).collect()]
-    chosen = None
-    for kind in sorted(kinds):
-        some = marks.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = some if chosen is None else chosen.union(some)
-    if chosen is None:
+    kinds = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}  # as many rows as labels
+    if not kinds:
         return []
+    chosen = features.lowest(marks, "label", kinds, most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, chars).alias("text"))
     got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))  # at most 64 * `most` ids
     return sorted(((r["doc_id"], r["label"], r["text"]) for r in got.collect()), key=lambda r: r[0])
