@@ -94,6 +94,22 @@ def row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row, values, rows)
 
 
+def lowest(rows, column: str, counts: dict, most: int):
+    """``(doc_id, column)``: for each value of ``column`` the ``most`` rows (at most) whose ids hash lowest.  ``counts`` has the
+    rows of each value: from a large table only hashes that can be among the lowest are sent anywhere."""
+    from pyspark.sql import functions as F
+
+    out = None
+    for value, n in sorted(counts.items()):
+        some = rows.where(F.col(column) == value).withColumn("_h", F.xxhash64("doc_id"))
+        share = 4 * most / n
+        if share < 1 and most >= 100:  # four times as many as needed are expected below; far fewer don't happen
+            some = some.where(F.col("_h") < int(share * (1 << 64)) - (1 << 63))
+        some = some.orderBy("_h", "doc_id").select("doc_id", column).limit(most)
+        out = some if out is None else out.union(some)
+    return out
+
+
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id's decimal text, as a Column: the folds of the classifiers."""
     from pyspark.sql import functions as F

@@ -188,11 +188,11 @@ def train(docs: DataFrame, training: Column) -> Model:
     from all of them, centroids from at most ``SAMPLE_DOCS`` of each language, those whose ids hash lowest."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(training).where("lang IS NOT NULL AND text IS NOT NULL")
     idf = inverse_frequencies(rows.select("text"))
+    kinds = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as languages
+    chosen = features.lowest(rows.select("doc_id", "lang"), "lang", kinds, SAMPLE_DOCS)
     small = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    got: list[tuple[str, str]] = []
-    for kind in sorted(r["lang"] for r in rows.groupBy("lang").count().collect()):  # as many rows as languages
-        some = small.where(F.col("lang") == kind).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
-        got += [(kind, r["text"]) for r in some]
+    got = small.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect() if kinds else []
+    got = [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"]))]
     return fit(got, idf)
 
 
