@@ -24,8 +24,8 @@ from graphloom.llm.toxicity import sample
 
 BITS = 16
 #: Bounds of the training sample: documents of each grade, and characters of each document.
-SAMPLE_DOCS = 2500
-SAMPLE_CHARS = 6000
+SAMPLE_DOCS = 1500
+SAMPLE_CHARS = 5000
 STEPS = 60
 SHAPES, WORDS, REPEATS = 0, 1 << BITS, 2 << BITS
 TOTAL = (2 << BITS) + 1
@@ -69,6 +69,13 @@ def located(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out_row), np.concatenate(out_what), np.concatenate(out_weight)
 
 
+def _vectors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row * TOTAL + feature, amount)``: one entry for each feature of a row, the root of its relative frequency."""
+    row, what, weight = located(raw, offsets)
+    key, inverse = np.unique(row * TOTAL + what, return_inverse=True)
+    return key, np.sqrt(np.bincount(inverse, weight, len(key)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -92,12 +99,9 @@ def fit(texts: list[str], graded: list[int], steps: int = STEPS, decay: float =
     if k < 1:
         return Model(grades or [0], np.zeros(TOTAL), np.empty(0))
     y = np.searchsorted(grades, graded)
-    parts = [(r + row0, f, w) for row0, raw, offsets in features.slices(pa.array([(t or "")[:SAMPLE_CHARS] for t in texts], pa.string())) for r, f, w in [located(raw, offsets)]]
-    row, what, amount = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    # One entry for each feature of a document.
-    key, inverse = np.unique(row * TOTAL + what, return_inverse=True)
-    amount = np.sqrt(np.bincount(inverse, amount))
-    row, what = key // TOTAL, key % TOTAL
+    parts = [(k + row0 * TOTAL, a) for row0, raw, offsets in features.slices(pa.array([(t or "")[:SAMPLE_CHARS] for t in texts], pa.string())) for k, a in [_vectors(raw, offsets)]]
+    key, amount = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    row, what = (key // TOTAL).astype(np.int32), (key % TOTAL).astype(np.int32)
     share = 1.0 / np.bincount(y, minlength=k + 1)
     importance = share[y] / (k + 1)
     weight, base, gaps = np.zeros(TOTAL), 0.0, np.zeros(max(0, k - 1))
@@ -130,9 +134,7 @@ def fit(texts: list[str], graded: list[int], steps: int = STEPS, decay: float =
 def _scores(texts: pa.Array, model: Model) -> np.ndarray:
     out = np.zeros(len(texts))
     for row0, raw, offsets in features.slices(texts):
-        row, what, amount = located(raw, offsets)
-        key, inverse = np.unique(row * TOTAL + what, return_inverse=True)
-        amount = np.sqrt(np.bincount(inverse, amount, len(key)))
+        key, amount = _vectors(raw, offsets)
         rows = len(offsets) - 1
         out[row0 : row0 + rows] = np.bincount(key // TOTAL, model.weight[key % TOTAL] * amount, rows)
     return out
