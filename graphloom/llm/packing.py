@@ -312,7 +312,7 @@ def _assign(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, bucket_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, bucket_rows: int = 2_000) -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null text is an empty document (the end id alone).  Repeated rows are packed as often as they occur, and null
