@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import decontam, isomedia, langid, linededup, packing, quality, simhash, toxicity, urlfilter, warc
+from graphloom.llm import decontam, isomedia, langid, linededup, neardup, packing, quality, simhash, toxicity, urlfilter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, line int"
 
@@ -466,6 +466,44 @@ def test_ordered_cuts():
     assert quality._scores(pa.array([None, ""], pa.string()), m).tolist() == [0.0, 0.0]
 
 
+# -- near duplicates of the pipeline ----------------------------------------------------------------------------
+def slow_near(rows, t=0.8):
+    """The ids that stay, by comparing all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and root[i] != root[j] and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_pipeline_near_duplicates(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    rows = [(0, None), (1, ""), (2, " \n\t"), (3, "a b"), (4, "A\nb"), (5, "a b c")]
+    for k in range(12):  # edited copies: 1 to 12 places of 200 words, and chains of them
+        text = words(rng, 200).split()
+        rows.append((100 * (k + 1) + rng.randrange(50), " ".join(text)))
+        for m in range(6):
+            copy = list(text)
+            for at in rng.sample(range(200), k + 1 if m % 2 else 3):
+                copy[at] = words(rng, 1)
+            rows.append((100 * (k + 1) + 50 + m, "\n".join([" ".join(copy[:90]), " ".join(copy[90:]).upper()])))
+            text = copy if m % 3 == 2 else text
+    docs, want = frame(spark, rows), slow_near(rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == want
+    assert 20 < len(want) < len(rows) - 20
+    assert neardup.keep_one(docs.where("false")).count() == 0
+    odd = frame(spark, [(None, "x y"), (None, "x y"), (7, "x y"), (7, "other"), (3, "x  y")])
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in neardup.keep_one(odd).collect()) == [(-1, "x y"), (-1, "x y"), (3, "x  y")]
+
+
 # -- the pipeline -----------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
