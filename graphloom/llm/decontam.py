@@ -2,8 +2,8 @@
 
 A seed is a fixed mask over a span of tokens; the tokens at its ignored positions may differ.  Hashes of all masked
 spans of the benchmark are an index, the same hashes of every document are looked up in it, and around a hit the
-document and the benchmark item are compared token by token along the hit's diagonal.  The best stretch there (a match
-counts 1, a substitution costs ``COST``) is an overlap if it has enough matches and a high enough share of them.
+document and the benchmark item are compared token by token along the hit's diagonal.  The longest stretch there with a
+high enough share of matches, which is also the one of most matches, is an overlap if it has enough of them.
 
 The index of a block of the benchmark, of bounded size, is broadcast; a larger benchmark is taken in several blocks,
 each a scan of the documents.  Documents are never shuffled.
@@ -26,7 +26,6 @@ from graphloom.llm import features
 MASKS = ("1111101", "110110011", "1011001101", "11000110011")
 #: An overlap has at least so many agreeing tokens (or the item's share, if it is shorter) and such a share of them.
 MIN_TOKENS, IDENTITY = 13, 0.8
-COST = 3.0
 #: Tokens of the benchmark in a block, 64 bytes each with four masks.
 BLOCK_TOKENS = 500_000
 BITMAP = 24
@@ -100,23 +99,26 @@ def build(items: list[tuple[object, str | None]], masks: tuple[str, ...] = MASKS
     return out
 
 
-def _best(same: np.ndarray) -> tuple[int, int]:
-    """The stretch ``(start, end)`` of greatest worth along a diagonal."""
-    worth = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -COST))])
+def _longest(same: np.ndarray) -> tuple[int, int]:
+    """The longest stretch ``(start, end)`` along a diagonal of which a share of ``IDENTITY`` agrees, without the tokens at
+    its ends that don't.  No other has more agreeing tokens: one that had could be extended beyond it."""
+    share = int(round(IDENTITY * 100))
+    worth = np.concatenate([[0], np.cumsum(np.where(same, 100 - share, -share))])
     low = np.minimum.accumulate(worth)
-    end = int((worth - low).argmax())
-    start = int(worth[: end + 1].argmin())
-    return start, end
+    starts = np.searchsorted(-low, -worth)  # the first place that is as low as the end
+    start = int(starts[(np.arange(len(worth)) - starts).argmax()])
+    at = start + np.flatnonzero(same[start : start + int((np.arange(len(worth)) - starts).max())])
+    return (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
 
 
 def _overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
     """``(start in the text, length, agreeing tokens)`` of the overlap on a diagonal (text place minus item place)."""
     a, b = max(0, diagonal), min(len(text), diagonal + len(item))
     same = text[a:b] == item[a - diagonal : b - diagonal]
-    start, end = _best(same)
+    start, end = _longest(same)
     agree = int(same[start:end].sum())
     need = min(MIN_TOKENS, int(np.ceil(IDENTITY * len(item))))
-    if agree < max(1, need) or agree < IDENTITY * (end - start):
+    if agree < max(1, need):
         return None
     return a + start, end - start, agree
 

@@ -292,6 +292,33 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_stretches(spark):
+    rng = np.random.default_rng(5)
+    cases = [[1] * 8 + [0] * 3 + [1] * 5, [1] * 8 + [0] * 4 + [1] * 5, [0] * 20, []]
+    cases += [(rng.random(rng.integers(1, 60)) < rng.choice([0.5, 0.75, 0.85, 0.95])).astype(int).tolist() for _ in range(600)]
+    met = 0
+    for same in cases:
+        n = len(same)
+        total = np.concatenate([[0], np.cumsum(same)]).tolist()
+        most = max((total[j] - total[i] for i in range(n) for j in range(i + 1, n + 1) if 5 * (total[j] - total[i]) >= 4 * (j - i)), default=0)
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        text = np.concatenate([[np.uint64(900)] * 3, np.where(np.array(same, bool), item, np.uint64(999)), [np.uint64(901)] * 2]).astype(np.uint64)
+        got = decontam._overlap(text, item, 3)
+        assert (got is not None) == (most >= max(1, min(13, int(np.ceil(0.8 * n)))))
+        if got:
+            start, length, agree = got
+            met += 1
+            assert agree == most == sum(same[start - 3 : start - 3 + length]) and 5 * agree >= 4 * length and same[start - 3] and same[start - 4 + length]
+    assert 100 < met < 500
+    item = words(random.Random(4), 60).split()
+    text = item[20:28] + ["one", "two", "three"] + item[31:36]  # 13 of 16 agree
+    docs = frame(spark, [(1, "before this " + " ".join(text) + " after that"), (2, " ".join(text[:8]))])
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    (r,) = decontam.contaminated(docs, bench).collect()
+    assert (r["doc_id"], r["item_id"], r["first_token"], r["tokens"], r["agreeing"]) == (1, 5, 2, 16, 13)
+    assert [r["doc_id"] for r in decontam.remove_contaminated(docs, bench).collect()] == [2]
+
+
 # -- 7: URLs ----------------------------------------------------------------------------------------------------
 def test_url_rules(spark):
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
