@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.store import drop, keep
 
+#: Scores settle in about 57 rounds, and in few more for each tenfold of hosts; far more are an error.
+MOST_ROUNDS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str]  # verdict (allow or block), then host and path as one string, like "example.com/en/"
 
@@ -55,13 +57,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", away.alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """``(host, trust, distrust)`` of every host of ``seeds (host, trust, distrust)`` and ``edges (src, dst, n)``.
 
     A round sends ``damping`` of a host's trust along its links, in proportion to ``n``, and of its distrust against
     them; the rest comes from the seeds.  A host without links out (in) keeps its trust (distrust) to itself.  It ends
-    after ``rounds`` or once no score moves by more than ``tolerance``.  A round is written to the shared folder;
-    scores never leave the cluster.
+    once no score moves by more than ``tolerance``, however many rounds that takes, or after ``rounds`` if they are given.
+    A round is written to the shared folder; scores never leave the cluster.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
@@ -79,7 +81,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         .union(ends.join(into, ends["host"] == into["dst"], "left_anti").select("host", "host", zero, F.lit(1.0))), "steps",
     )
     now = base
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         sent = steps.join(now.select(F.col("host").alias("sender"), "trust", "distrust"), "sender")
         gains = sent.select("host", (F.col("ahead") * F.col("trust") * damping).alias("trust"), (F.col("back") * F.col("distrust") * damping).alias("distrust"), zero.alias("was_trust"), zero.alias("was_distrust"))
         rest = base.select("host", F.col("trust") * (1 - damping), F.col("distrust") * (1 - damping), zero, zero)
@@ -91,6 +93,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         now = after
         if moved is None or moved <= tolerance:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"scores did not settle in {MOST_ROUNDS} rounds")
     return now.select("host", "trust", "distrust")
 
 

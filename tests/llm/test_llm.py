@@ -360,6 +360,17 @@ def test_url_propagation(spark):
     assert got["d"][1] > 0.5  # it links to nothing but the blocked host
 
 
+def test_url_propagation_settles(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", 1.0, 1.0)], "host string, trust double, distrust double")
+    got = {r["host"]: tuple(r)[1:] for r in urlfilter.propagate(edges, seeds).collect()}
+    a = 0.15 / (1 - 0.85**2)  # 30 rounds are off by 0.0035
+    assert np.allclose(got["a"], a, atol=6e-4) and np.allclose(got["b"], 0.85 * a, atol=6e-4)
+    monkeypatch.setattr(urlfilter, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        urlfilter.propagate(edges, seeds)
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame([(1, "http://A.x/", '<a href="/r">1</a> <A HREF=\'https://b.y/p\'>2</A> <a class=k href=//c.z/q>3</a> <a href="mailto:x@y">4</a> <p href="http://no">'), (2, None, '<a href="http://b.y">')], "page_id long, url string, html string")
     assert {tuple(r) for r in urlfilter.host_edges(pages).collect()} == {("a.x", "a.x", 1), ("a.x", "b.y", 1), ("a.x", "c.z", 1)}
