@@ -51,7 +51,7 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def _capture(key: int, url: str, payload: bytes, refers_key: int | None) -> Iterator[bytes]:
+def _capture(key: str, page: int | None, url: str, payload: bytes, refers_key: str | None) -> Iterator[bytes]:
     """The response or revisit, the request and the metadata of a capture."""
     own, target = identifier("capture", key), url or "urn:none"
     digest = f"sha1:{base32_sha1(payload)}"
@@ -71,7 +71,7 @@ def _capture(key: int, url: str, payload: bytes, refers_key: int | None) -> Iter
     )
     yield record(
         [("WARC-Type", "metadata"), ("WARC-Record-ID", identifier("metadata", key)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
-        f"page_id: {key}\r\npayload_bytes: {len(payload)}\r\n".encode(),
+        (f"page_id: {page}\r\n" * (page is not None) + f"payload_bytes: {len(payload)}\r\n").encode(),
     )
 
 
@@ -83,8 +83,8 @@ def _archives(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([pa.array([END.join(kept)], pa.binary())], names=["value"])
 
     for batch in batches:
-        for key, url, html, refers in zip(*batch.columns, strict=True):
-            for r in _capture(key.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), refers.as_py()):
+        for key, page, url, html, refers in zip(*batch.columns, strict=True):
+            for r in _capture(key.as_py(), page.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), refers.as_py()):
                 kept.append(r)
                 size += len(r) + len(END)
             if size >= most:
@@ -97,18 +97,24 @@ def _archives(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
 def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, compression: str = "none") -> None:
     """Write a capture for each row of ``pages (page_id, url, html)`` to archives in ``path``.
 
-    Of rows with equal payloads of at least ``min_revisit_bytes`` bytes, that with the largest ``page_id`` is the
+    Of rows with equal payloads of at least ``min_revisit_bytes`` bytes, one with the largest ``page_id`` is the
     response and the others are revisits that refer to it; smaller payloads are all responses.  Null html is an empty
-    payload.  Repeated rows of a ``page_id`` are one capture; so are all rows of one ``page_id``, of which the least
-    (url, html) counts.  Rows without ``page_id`` are left out: no identifier can name them.
+    payload.  Every row is a capture: its identifiers are derived from ``page_id``, a hash of url and html, and a number
+    that tells equal rows apart.  Rows without ``page_id`` have none in their metadata and count last as a response.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where("page_id IS NOT NULL")
-    rows = rows.groupBy("page_id").agg(F.min(F.struct("url", "html")).alias("r")).select("page_id", "r.url", "r.html")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    mark = F.substring(F.sha2(F.concat(F.coalesce(F.octet_length("url"), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce("url", F.lit("")), "html"), 256), 1, 32)
+    rows = rows.select(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), mark).alias("id"), "page_id", "url", "html")
+    # Equal rows are one until they are written; texts are shuffled once, by ``id``.
+    # One struct, so that both uses below need the same columns and share that shuffle.
+    rows = rows.groupBy("id").agg(F.min(F.struct("page_id", "url", "html")).alias("r"), F.count(F.lit(1)).alias("n")).select("id", "r.page_id", "r.url", "r.html", "n")
     # Payloads are told apart by digest and length; only groups of several are looked up.
-    same = rows.where(F.octet_length("html") >= min_revisit_bytes).select("page_id", F.sha2("html", 256).alias("digest"))
-    first = same.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = same.join(first, "digest").where("page_id <> refers").select("page_id", "refers")
-    known = rows.join(revisits, "page_id", "left").select("page_id", "url", "html", "refers")
+    same = rows.where(F.octet_length("html") >= min_revisit_bytes).select("id", "page_id", "n", F.sha2("html", 256).alias("digest"))
+    first = same.groupBy("digest").agg(F.max(F.struct("page_id", "id")).alias("r"), F.sum("n").alias("n")).where("n > 1").select("digest", F.concat("r.id", F.lit(":1")).alias("refers"))
+    groups = same.join(first, "digest").select("id", "refers")
+    known = rows.join(groups, "id", "left").select("id", "page_id", "url", "html", "refers", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("number"))
+    known = known.select(F.concat_ws(":", "id", F.col("number").cast("string")).alias("key"), "page_id", "url", "html", "refers")
+    known = known.withColumn("refers", F.when(F.col("key") != F.col("refers"), F.col("refers")))
     packed = known.mapInArrow(partial(_archives, most=archive_bytes), "value binary")
     writer = packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1)
     writer.option("compression", compression).text(path)
@@ -226,7 +232,7 @@ def captures(pages: DataFrame, path: str, min_revisit_bytes: int = 0, compressio
     response, for a revisit from the one that it refers to.  See :func:`write` for odd rows."""
     write(pages, path, min_revisit_bytes, compression=compression)
     found = transactions(read(pages.sparkSession, path, payload_of=("metadata",)))
-    key = F.regexp_extract(F.col("metadata")[0]["payload"].cast("string"), r"page_id: (-?\d+)", 1).cast("long")
+    key = F.regexp_extract(F.col("metadata")[0]["payload"].cast("string"), r"page_id: (-?\d+)", 1).try_cast("long")
     flat = found.select(key.alias("page_id"), "capture_id", "response.type", "response.payload_bytes", "response.payload_sha1", F.col("response.refers_to").alias("refers_id"))
     flat = keep(flat, "captures")
     full = flat.where("type = 'response'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_sha1").alias("full_sha1"))

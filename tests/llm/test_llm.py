@@ -249,6 +249,20 @@ def test_warc(spark, tmp_path, compression):
     assert len(whole) == len(rows) and all(r["request"]["concurrent_to"] == r["capture_id"] and len(r["metadata"]) == 1 for r in whole)
 
 
+def test_warc_repeated_and_missing_ids(spark, tmp_path):
+    rows = [(1, "http://a/1", "<p>x</p>"), (1, "http://a/1", "<p>y</p>"), (1, "http://a/2", "<p>y</p>"), (2, "http://a/3", "<p>z</p>"), (2, "http://a/3", "<p>z</p>"), (None, "http://a/4", "<p>x</p>"), (None, "http://a/5", "<p>w</p>"), (None, None, None), (3, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.captures(pages, str(tmp_path / "w")).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(((r["page_id"], r["payload_digest"]) for r in got), key=order) == sorted(((i, digest(h)) for i, _, h in rows), key=order)
+    types = sorted((r["payload_digest"], r["record_type"], r["refers_to"]) for r in got if r["record_type"] == "revisit")
+    assert types == sorted([(digest("<p>x</p>"), "revisit", 1), (digest("<p>y</p>"), "revisit", 1), (digest("<p>z</p>"), "revisit", 2), (digest(""), "revisit", 3)])
+    records = warc.read(spark, str(tmp_path / "w"))
+    assert records.count() == 3 * len(rows) == records.select("record_id").distinct().count()
+    assert sorted(r["uri"] for r in warc.transactions(records).collect()) == sorted(u or "urn:none" for _, u, _ in rows)
+
+
 def test_warc_records_and_damage():
     one = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>")], b"block") + warc.END
     assert [(h["warc-type"], b) for h, b in warc.parse(one * 2)] == [("response", b"block")] * 2
