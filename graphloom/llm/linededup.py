@@ -1,263 +1,143 @@
-"""Line deduplication by an exact set-similarity join.
-
-Two styles give the same decisions: ``native`` makes tokens with DataFrame functions only, ``arrow`` hashes them on whole
-Arrow buffers.  All joins and filters are DataFrame operations in both.  ``arrow`` is the default, as tokens made with
-higher-order functions cost more than twice the CPU seconds that the operator is allowed (README).
-
-The tokens of a line are the hashes of its shingles of five lower-cased words (a shorter line is one token).  A global
-order of tokens puts rare ones first.  Two lines whose sets have a Jaccard similarity of at least ``t`` share a token
-among the first ``n - ceil(t n) + 1`` of each (prefix filter); sizes and the places of the shared token bound what
-they can still share (length and positional filters); what passes is verified on the whole sets.  A line is removed
-if it is similar to any line before it, in order of document and line.
-
-How it stays linear: equal sets are collapsed first and only their first line is compared; rarity comes from counts in
-a fixed number of hash buckets, so the order is a table of fixed size that any task can hold, and frequent tokens stay
-out of prefixes; only tokens that two different sets share are looked up again.  Where a token is in very many
-prefixes, its lines are first compared with the earliest of them, which is enough to remove most; only lines that are
-still there are compared with all earlier ones.
+"""Line deduplication by an exact set-similarity join, with DataFrame functions only.
+
+The tokens of a line are the pairs of neighbouring lower-cased words (``shingle`` words in general; a line of fewer words is
+one token).  A global order of tokens puts rare ones first.  Two lines whose sets have a Jaccard similarity of at least ``t``
+share a token among the first ``n - ceil(t n) + 1`` of each (prefix filter); sizes and the places of the shared token bound
+what they can still share (length and positional filters); what passes is verified on the whole sets.  A line is removed if it
+is similar to any line before it, in order of document and line.
+
+Single words can be tokens too (``shingle=1``), but their number hardly grows with the corpus, so the lists of lines that share
+one do, and the pairs to be looked at with their square; pairs of words stay rare.
+
+How it stays linear: words are hashed once and kept as arrays of 32-bit numbers; equal sets are collapsed first and only their
+first line is compared; rarity comes from counts of all tokens in a fixed number of hash buckets, so the order is a table of
+fixed size that any task can hold, and frequent tokens stay out of prefixes; only tokens that two different sets share are
+looked up again.  Where a token is in very many prefixes, its lines are first compared with the earliest of them, which is
+enough to remove most; only lines that are still there are compared with all earlier ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import features
 from graphloom.llm.store import drop, free, keep
 
-SHINGLE = 5
-BUCKET_BITS = 16
-#: Tables of one or two longs a row are broadcast up to so many rows, and joined by shuffling beyond.
-BROADCAST_ROWS = 1_500_000
+SHINGLE = 2
+#: The order of tokens is that of 2 ** 17 buckets of their hashes, half a megabyte.  Any order gives the same decisions.
+BUCKET_BITS = 17
+SPACES = r"[\t\x0B\f\r]"
 
 
-def _once(value: Column, *fields: tuple[str, Callable[[Column], Column]]) -> Column:
-    """A generator of one row with fields computed from ``value``, which is evaluated once and not for each use."""
-    return F.inline(F.transform(F.array(value), lambda v: F.struct(*(f(v).alias(n) for n, f in fields))))
+def _plain(text: Column) -> Column:
+    return F.when(text.rlike(SPACES), F.regexp_replace(text, SPACES, " ")).otherwise(text)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, dk, line, words)``: every line; ``dk`` stands for the row's id and text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("dk"), F.posexplode(F.split(text, "\n", -1)).alias("line", "words"))
+def _words(docs: DataFrame) -> DataFrame:
+    """``(doc_id, dk, line, w)``: every line with words and the hashes of its words in order; ``dk`` stands for the row's id and
+    text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), _plain(F.lower("text")).alias("text"))
+    lines = rows.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("line", "words")).where(F.trim("words") != "")
+    return lines.select("doc_id", "dk", "line", F.transform(F.array_remove(F.split("words", " ", -1), ""), lambda w: F.hash(w)).alias("w"))
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """Lines with at least one word, with the distinct hashes ``h`` of their shingles instead of their words."""
-    plain = F.filter(F.split(F.translate(F.lower("words"), "\t\r\f\v", "    "), " ", -1), lambda w: w != "")
-    n = SHINGLE - 1
+def _tokens(shingle: int) -> Column:
+    """The hashes of the shingles of ``w``; beyond its end there is nothing to hash, so a shorter line is one token."""
+    begin = F.slice("w", F.lit(1), F.greatest(F.size("w") - (shingle - 1), F.lit(1)))
+    return F.transform(begin, lambda x, i: F.xxhash64(x, *(F.get(F.col("w"), i + j) for j in range(1, shingle))))
 
-    def hashes(w: Column) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) <= n, F.array(F.xxhash64(w))).otherwise(F.array_distinct(some))
 
-    return lines.select(*(c for c in lines.columns if c != "words"), _once(plain, ("h", hashes))).where(F.size("h") > 0)
-
-
-def _order(tokens: DataFrame) -> DataFrame:
+def _order(words: DataFrame, shingle: int) -> DataFrame:
     """One row with the place of each bucket of hashes when buckets are ordered by how often their tokens occur."""
-    buckets = 1 << BUCKET_BITS
-    met = tokens.select(F.explode("h").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - BUCKET_BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = tokens.sparkSession.range(buckets).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
+    met = words.select(F.explode(_tokens(shingle)).alias("h")).groupBy(F.shiftrightunsigned("h", 64 - BUCKET_BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = words.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
     counted = every.union(met).groupBy("b").agg(F.sum("n").alias("n"))
     by_count = counted.agg(F.array_sort(F.collect_list(F.struct("n", "b"))).alias("a"))
-    placed = by_count.select(F.expr("transform(array_sort(transform(a, (x, i) -> struct(x.b AS b, i AS i))), x -> x.i)").alias("place"))
+    placed = by_count.select(F.expr("transform(array_sort(transform(a, (x, i) -> struct(x.b AS b, i AS i))), x -> int(x.i))").alias("place"))
     return keep(placed, "order")
 
 
-def _ordered(tokens: DataFrame, order: DataFrame) -> DataFrame:
-    """``h`` replaced by the sorted set ``s``: a token's bits with the bucket's part replaced by the bucket's place, which
-    loses nothing and sorts rare ones first."""
+def _ordered(words: DataFrame, order: DataFrame, shingle: int) -> DataFrame:
+    """``w`` replaced by the sorted set ``s``: a token's bits with the bucket's part replaced by the bucket's place, which loses
+    nothing and sorts rare ones first."""
     rest, half = 64 - BUCKET_BITS, 1 << (BUCKET_BITS - 1)
-    held = tokens.withColumn("place", order.scalar())  # used once below, so it stays a constant and fills no column
-
-    def key(x: Column) -> Column:
-        at = F.get("place", F.shiftrightunsigned(x, rest).cast("int")) - half
-        return F.shiftleft(at.cast("long"), rest).bitwiseOR(x.bitwiseAND(F.lit((1 << rest) - 1)))
-
-    return held.select(*(c for c in tokens.columns if c != "h"), F.sort_array(F.transform("h", key)).alias("s"))
-
-
-def _native_sets(docs: DataFrame, order: DataFrame, t: Column) -> DataFrame:
-    prefix = lambda s: F.slice(s, F.lit(1), F.size(s) - F.ceil(F.size(s) * t - 1e-9).cast("int") + 1)
-    return _ordered(_tokens(_lines(docs)), order).select("doc_id", "dk", "line", _once(F.col("s"), ("sid", F.xxhash64), ("n", F.size), ("p", prefix)))
-
-
-#: Bytes of words: all but ASCII white space.
-MEMBER = np.ones(256, bool)
-MEMBER[[9, 10, 11, 12, 13, 32]] = False
-
-
-def _hashed(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, line, first, hashes)``: row and line number of each line with words in a slice, and where its shingles begin in
-    ``hashes``, closed by their number."""
-    breaks = np.flatnonzero(raw == 10)
-    starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
-    bounds = np.append(starts, len(raw))
-    begin, end, of = features.words(raw, bounds, MEMBER)
-    word = features.stretch(features.sums(raw), begin, end)
-    n = np.bincount(of, minlength=len(starts))
-    lines = np.flatnonzero(n)
-    n = n[lines]
-    first_word = np.cumsum(n) - n
-    shingles = np.maximum(n - SHINGLE + 1, 1)
-    first = np.concatenate([[0], np.cumsum(shingles)])
-    at = np.repeat(first_word - first[:-1], shingles) + np.arange(first[-1])
-    out = np.zeros(len(at), np.uint64)
-    size = np.repeat(np.minimum(n, SHINGLE), shingles)
-    with np.errstate(over="ignore"):
-        for i in range(SHINGLE):
-            some = size > i
-            out[some] = out[some] * np.uint64(0x9E3779B97F4A7C15) + word[at[some] + i]
-        out = features.mix(out + size.astype(np.uint64))
-    where = starts[lines]
-    row = np.searchsorted(offsets, where, side="right") - 1
-    upto = np.searchsorted(breaks, offsets[:-1])
-    return row, np.searchsorted(breaks, where) - upto[row], first, out
+    held = words.withColumn("place", order.scalar())  # used once below, so it stays a constant and fills no column
 
+    def key(h: Column) -> Column:
+        at = F.coalesce(F.get("place", F.shiftrightunsigned(h, rest).cast("int")), F.lit(0)) - half
+        return F.shiftleft(at.cast("long"), rest).bitwiseOR(h.bitwiseAND(F.lit((1 << rest) - 1)))
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = np.zeros(1 << BUCKET_BITS, np.int64)
-    for batch in batches:
-        for _, raw, offsets in features.slices(batch.column(0), lower=True):
-            h = _hashed(raw, offsets)[3]
-            found += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(found))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["b", "n"])
+    return held.select(*(c for c in words.columns if c != "w"), F.sort_array(F.array_distinct(F.transform(_tokens(shingle), key))).alias("s"))
 
 
-def _places(docs: DataFrame) -> np.ndarray:
-    """The place of each bucket of hashes, by how often its tokens occur in all lines."""
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # as many rows as buckets
-    count = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in got:
-        count[r["b"]] = r["n"]
-    place = np.empty(len(count), np.int64)
-    place[np.argsort(count, kind="stable")] = np.arange(len(count))
-    return place
-
-
-def _sorted_sets(raw: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(row, line, first, keys)`` as of :func:`_hashed`, but the keys of a line are a set in the global order."""
-    row, line, first, h = _hashed(raw, offsets)
-    rest = np.uint64(64 - BUCKET_BITS)
-    with np.errstate(over="ignore"):
-        key = ((place[(h >> rest).astype(np.int64)] - (1 << (BUCKET_BITS - 1))) << np.int64(rest)) | (h & np.uint64((1 << int(rest)) - 1)).astype(np.int64)
-    own = np.repeat(np.arange(len(row)), np.diff(first))
-    order = np.lexsort((key, own))
-    key, own = key[order], own[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])) if len(key) else np.empty(0, bool)
-    key, own = key[new], own[new]
-    return row, line, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(row)))]), key
-
-
-def _set_rows(batches: Iterator[pa.RecordBatch], places, threshold: float) -> Iterator[pa.RecordBatch]:
-    place = places.value
-    for batch in batches:
-        for row0, raw, offsets in features.slices(batch.column(2), lower=True):
-            row, line, first, key = _sorted_sets(raw, offsets, place)
-            n = np.diff(first)
-            with np.errstate(over="ignore"):
-                total = np.concatenate([[0], np.cumsum(features.mix(key.view(np.uint64)), dtype=np.uint64)]).astype(np.uint64)
-                sid = features.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)).view(np.int64)
-            some = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
-            keep_ = np.arange(len(key)) - np.repeat(first[:-1], n) < np.repeat(some, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]), pa.int32()), pa.array(key[keep_]))
-            at = pa.array(row0 + row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(sid), pa.array(n, pa.int32()), prefix], names=["doc_id", "dk", "line", "sid", "n", "p"])
-
-
-def _whole_rows(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row0, raw, offsets in features.slices(batch.column(1), lower=True):
-            row, _, first, key = _sorted_sets(raw, offsets, places.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row0 + row)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(key))], names=["sid", "s"])
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def removed_lines(docs: DataFrame, threshold: float = 0.8, style: str = "arrow") -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
     """``(dk, line)`` of the lines to remove; ``dk`` is ``xxhash64(doc_id, text)``."""
-    if style not in ("arrow", "native"):
-        raise ValueError("the style is arrow or native")
     t, spark = F.lit(threshold), docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("dk"), "text")
-    if style == "arrow":
-        places = docs.sparkSession.sparkContext.broadcast(_places(docs))
-        made = keyed.mapInArrow(partial(_set_rows, places=places, threshold=threshold), "doc_id long, dk long, line int, sid long, n int, p array<long>")
-        complete = lambda again: again.mapInArrow(partial(_whole_rows, places=places), "sid long, s array<long>")
-    else:
-        order = _order(_tokens(_lines(docs)))
-        made = _native_sets(docs, order, t)
-        complete = lambda again: _ordered(_tokens(again), order).select("sid", "s")
-    sets = keep(made, "sets")
+    words = keep(_words(docs), "words")
+    order = _order(words, shingle)
+    prefix = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * t - 1e-9).cast("int") + 1)
+    sets = keep(_ordered(words, order, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), prefix.alias("p")), "sets")
     first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines")), "first")
 
     postings = sets.select("sid", "n", F.posexplode("p").alias("at", "tok"))
     shared = keep(postings.groupBy("tok").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("tok"), "shared")
     free(spark)
-    met = keep(postings.join(_small(shared), "tok").groupBy("tok", "sid").agg(F.first("n").alias("n"), F.first("at").alias("at")), "met")
-    placed = keep(met.join(keep(first.select("sid", "o"), "places"), "sid").select("tok", "sid", "n", "at", "o"), "placed")
+    met = keep(postings.join(shared, "tok").groupBy("tok", "sid").agg(F.first("n").alias("n"), F.first("at").alias("at")), "met")
+    free(spark)
+    placed = keep(met.join(first.select("sid", "o"), "sid").select("tok", "sid", "n", "at", "o"), "placed")
+    drop(shared, met)
     free(spark)
     x = placed.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "at", "o")))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose later line passes the length and positional filters with the earlier one."""
         least = t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9
-        can = 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
+        can = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
         return pairs.where((F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n") - 1e-9) & (can >= least)).select("x_sid", "y_sid").distinct()
 
-    lead = keep(placed.groupBy("tok").agg(F.min(F.struct("o", "sid", "n", "at")).alias("y")), "lead")
-
     def similar(pairs: DataFrame) -> DataFrame:
         """The later lines of the pairs whose whole sets, made again from the lines that came first, are similar."""
         pairs = keep(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("x_sid", "y_sid")).alias("sid")).distinct().join(first, "sid").select("sid", "o.dk", "o.line")
-        wanted = keep(wanted, "wanted")
-        lines = _lines(keyed.join(_small(keep(wanted.select("dk").distinct(), "keys")), "dk", "left_semi").select("doc_id", "text"))
-        again = lines.join(_small(wanted), ["dk", "line"]).select("sid", "words").dropDuplicates(["sid"])
-        whole = keep(complete(again), "whole")
+        again = words.join(wanted, ["dk", "line"]).dropDuplicates(["sid"]).select("sid", "w")
+        whole = keep(_ordered(again, order, shingle), "whole")
         free(spark)
         both = pairs.join(whole.select(F.col("sid").alias("x_sid"), F.col("s").alias("xs")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("s").alias("ys")), "y_sid")
         common = F.size(F.array_intersect("xs", "ys"))
         out = keep(both.where(common >= t * (F.size("xs") + F.size("ys") - common) - 1e-9).select(F.col("x_sid").alias("sid")).distinct(), "similar")
-        drop(pairs, wanted, whole)
+        drop(pairs, whole)
         free(spark)
         return out
 
+    lead = keep(placed.groupBy("tok").agg(F.min(F.struct("o", "sid", "n", "at")).alias("y")), "lead")
     led = x.join(lead, "tok").where(F.col("x_sid") != F.col("y.sid")).select("x_sid", "x_n", "x_at", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "n", "at")))
     early = similar(near(led))
-    left = keep(x.join(early, x["x_sid"] == early["sid"], "left_anti"), "left")
+    left = x.join(early, x["x_sid"] == early["sid"], "left_anti")
     y = placed.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "at", "o")))
     late = similar(near(left.join(y, "tok").where("y_o < x_o")))
-    gone = keep(early.union(late).distinct(), "gone")
 
     # Every line of a set that resembles an earlier one goes; of the others all but the first line.
+    gone = early.union(late).distinct()
     repeated = first.where("lines > 1").select("sid", F.struct("o.dk", "o.line").alias("keep"))
-    fate = keep(repeated.join(gone.withColumn("all", F.lit(True)), "sid", "full").select("sid", "keep", F.coalesce("all", F.lit(False)).alias("all")), "fate")
+    fate = repeated.join(gone.withColumn("all", F.lit(True)), "sid", "full").select("sid", "keep", F.coalesce("all", F.lit(False)).alias("all"))
     out = keep(sets.select("sid", "dk", "line").join(fate, "sid").where(F.col("all") | (F.struct("dk", "line") != F.col("keep"))).select("dk", "line"), "removed-lines")
+    drop(words, order, placed, lead, early, late, first, sets)
     free(spark)
-    drop(shared, met, placed, lead, early, left, late, gone, fate, first, sets)
     return out
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8, style: str = "arrow") -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
     """All columns of ``docs`` with repeated lines taken out of ``text``, and ``lines_removed``.
 
-    Lines are what newlines separate; a removed one goes with its newline.  Lines without words always stay.  A null
-    text stays null, an empty one empty; a document may become empty, its row stays.  Rows of equal ``doc_id`` and text are
-    one document and get the same text; rows without ``doc_id`` come first in the order.  An empty table gives no rows.  If ``n_chars`` is a
-    column it is brought up to date.
+    Lines are what newlines separate; a removed one goes with its newline.  Words are what ASCII white space separates; lines
+    without words always stay.  A null text stays null, an empty one empty; a document may become empty, its row stays.  Rows
+    of equal ``doc_id`` and text are one document and get the same text; rows without ``doc_id`` come first in the order.  An
+    empty table gives no rows.  If ``n_chars`` is a column it is brought up to date.
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = removed_lines(docs, threshold, style)
-    by_row = keep(out.groupBy("dk").agg(F.collect_set("line").alias("_lines")).select(F.col("dk").alias("_dk"), "_lines"), "removed")
+    out = removed_lines(docs, threshold, shingle)
+    by_row = out.groupBy("dk").agg(F.collect_set("line").alias("_lines")).select(F.col("dk").alias("_dk"), "_lines")
     marked = docs.withColumn("_key", key).join(by_row, F.col("_key") == F.col("_dk"), "left")
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col("_lines"), i)), "\n"))
     cut = marked.withColumn("text", text).withColumn("lines_removed", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")))

@@ -174,16 +174,15 @@ def test_language(spark):
 
 
 # -- 4: lines ---------------------------------------------------------------------------------------------------
-def slow_lines(rows, t=0.8):
-    seen, gone = [], {}
-    done = set()
+def slow_lines(rows, t=0.8, shingle=2):
+    seen, done, gone = [], set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         gone[i] = []
         for n, line in enumerate((text or "").split("\n")):
             w = line.lower().split()
             if not w:
                 continue
-            s = frozenset([tuple(w)] if len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+            s = frozenset([tuple(w)] if len(w) < shingle else [tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)])
             if s in done or any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen):
                 gone[i].append(n)
             if s not in done:
@@ -192,8 +191,8 @@ def slow_lines(rows, t=0.8):
     return gone
 
 
-@pytest.mark.parametrize("style", ["arrow", "native"])
-def test_lines(spark, style):
+@pytest.mark.parametrize("shingle", [1, 2, 5])
+def test_lines(spark, shingle):
     rng = random.Random(2)
     pool = [words(rng, rng.choice([1, 3, 5, 8, 20, 60])) for _ in range(40)]
 
@@ -201,13 +200,15 @@ def test_lines(spark, style):
         w = rng.choice(pool).split()
         if rng.random() < 0.4:
             w = [*w, words(rng, 1)]
-        return "  ".join(w) if rng.random() < 0.1 else " ".join(w)
+        if rng.random() < 0.3:
+            w[rng.randrange(len(w))] = words(rng, 1)
+        return "  ".join(w) if rng.random() < 0.1 else "\t".join(w) + "\r" if rng.random() < 0.1 else " ".join(w)
 
-    rows = [(i, "\n".join(line() if rng.random() < 0.6 else rng.choice(["", words(rng, 12)]) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    rows = [(i, "\n".join(line() if rng.random() < 0.6 else rng.choice(["", " \t", words(rng, 12)]) for _ in range(rng.randint(1, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, pool[0] + "\n" + pool[0])]
-    want = slow_lines(rows)
+    want = slow_lines(rows, shingle=shingle)
     docs = frame(spark, rows)
-    got = {r["doc_id"]: r for r in linededup.dedup(docs, style=style).collect()}
+    got = {r["doc_id"]: r for r in linededup.dedup(docs, shingle=shingle).collect()}
     for i, text in rows:
         if text is None:
             assert got[i]["text"] is None
@@ -216,16 +217,32 @@ def test_lines(spark, style):
         assert got[i]["lines_removed"] == len(want[i]) and got[i]["text"] == "\n".join(left) and got[i]["n_chars"] == len("\n".join(left))
 
 
+@pytest.mark.parametrize(("n", "gone"), [(20, 1), (12, 0)])
+def test_lines_with_one_word_replaced(spark, n, gone):
+    rng = random.Random(n)
+    w = [f"{x}{i}" for i, x in enumerate(words(rng, n).split())]
+    other = [*w[: n // 2], "else", *w[n // 2 + 1 :]]
+    got = linededup.dedup(frame(spark, [(1, " ".join(w)), (2, " ".join(other))])).collect()
+    assert {r["doc_id"]: r["lines_removed"] for r in got} == {1: 0, 2: gone}
+
+
 def test_lines_odd_tables(spark):
     assert linededup.dedup(frame(spark, [])).count() == 0
     got = linededup.dedup(frame(spark, [(1, "a b"), (1, "a b"), (2, "a b"), (None, "c")])).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "c"), (1, "a b"), (1, "a b"), (2, "")]
 
 
-def test_native_lines_run_no_python(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "_set_rows", None)
-    monkeypatch.setattr(linededup, "_counted", None)
-    plan = linededup.dedup(frame(spark, [(1, "a b"), (2, "a b")]), style="native")._jdf.queryExecution().executedPlan().toString()
+def test_lines_of_a_crowd(spark):
+    rng = random.Random(9)
+    base = words(rng, 40).split()
+    rows = [(i, " ".join([*base[:20], f"x{i}", *base[21:]])) for i in range(150)] + [(500 + i, " ".join(base[:4]) + " " + words(rng, 30)) for i in range(50)]
+    want = slow_lines(rows)
+    got = {r["doc_id"]: r["lines_removed"] for r in linededup.dedup(frame(spark, rows)).collect()}
+    assert got == {i: len(want[i]) for i, _ in rows} and sum(got.values()) == 149
+
+
+def test_lines_run_no_python(spark):
+    plan = linededup.dedup(frame(spark, [(1, "a b"), (2, "a b")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
