@@ -3,8 +3,9 @@
 The tokens of a line are the pairs of neighbouring lower-cased words (``shingle`` words in general; a line of fewer words is
 one token).  A global order of tokens puts rare ones first.  Two lines whose sets have a Jaccard similarity of at least ``t``
 share a token among the first ``n - ceil(t n) + 1`` of each (prefix filter); sizes and the places of the shared token bound
-what they can still share (length and positional filters); what passes is verified on the whole sets.  A line is removed if it
-is similar to any line before it, in order of document and line.
+what they can still share (length and positional filters); a parity of 64 bits for each set bounds it too, as a token that only
+one set has changes one bit.  What passes is verified on the whole sets.  A line is removed if it is similar to any line before
+it, in order of document and line.
 
 Single words can be tokens too (``shingle=1``), but their number hardly grows with the corpus, so the lists of lines that share
 one do, and the pairs to be looked at with their square; pairs of words stay rare.
@@ -42,10 +43,10 @@ def _words(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "dk", "line", F.transform(F.array_remove(F.split("words", " ", -1), ""), lambda w: F.hash(w)).alias("w"))
 
 
-def _tokens(shingle: int) -> Column:
-    """The hashes of the shingles of ``w``; beyond its end there is nothing to hash, so a shorter line is one token."""
-    begin = F.slice("w", F.lit(1), F.greatest(F.size("w") - (shingle - 1), F.lit(1)))
-    return F.transform(begin, lambda x, i: F.xxhash64(x, *(F.get(F.col("w"), i + j) for j in range(1, shingle))))
+def _tokens(shingle: int, words: str = "w") -> Column:
+    """The hashes of the shingles of words; beyond the end there is nothing to hash, so a shorter line is one token."""
+    begin = F.slice(words, F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
+    return F.transform(begin, lambda x, i: F.xxhash64(x, *(F.get(F.col(words), i + j) for j in range(1, shingle))))
 
 
 def _order(words: DataFrame, shingle: int) -> DataFrame:
@@ -74,47 +75,51 @@ def _ordered(words: DataFrame, order: DataFrame, shingle: int) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
     """``(dk, line)`` of the lines to remove; ``dk`` is ``xxhash64(doc_id, text)``."""
     t, spark = F.lit(threshold), docs.sparkSession
-    words = keep(_words(docs), "words")
+    # Word hashes repeat, so a large dictionary makes them small.
+    words = keep(_words(docs), "words", **{"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)})
     order = _order(words, shingle)
     prefix = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * t - 1e-9).cast("int") + 1)
-    sets = keep(_ordered(words, order, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), prefix.alias("p")), "sets")
+    parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    sets = keep(_ordered(words, order, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), parity.alias("m"), prefix.alias("p")), "sets")
     first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines")), "first")
 
-    postings = sets.select("sid", "n", F.posexplode("p").alias("at", "tok"))
+    postings = sets.select("sid", "n", "m", F.posexplode("p").alias("at", "tok"))
     shared = keep(postings.groupBy("tok").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("tok"), "shared")
     free(spark)
-    met = keep(postings.join(shared, "tok").groupBy("tok", "sid").agg(F.first("n").alias("n"), F.first("at").alias("at")), "met")
+    met = keep(postings.join(shared, "tok").groupBy("tok", "sid").agg(*(F.first(c).alias(c) for c in ("n", "m", "at"))), "met")
     free(spark)
-    placed = keep(met.join(first.select("sid", "o"), "sid").select("tok", "sid", "n", "at", "o"), "placed")
+    placed = keep(met.join(first.select("sid", "o"), "sid").select("tok", "sid", "n", "m", "at", "o"), "placed")
     drop(shared, met)
     free(spark)
-    x = placed.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "at", "o")))
+    x = placed.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "m", "at", "o")))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose later line passes the length and positional filters with the earlier one."""
+        """Pairs whose later line passes the length and positional filters with the earlier one, and the parities'."""
         least = t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9
-        can = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-        return pairs.where((F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n") - 1e-9) & (can >= least)).select("x_sid", "y_sid").distinct()
+        can = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))  # if the token is the first that they share
+        apart = F.col("x_n") + F.col("y_n") - F.bit_count(F.col("x_m").bitwiseXOR(F.col("y_m")))
+        return pairs.where((F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n") - 1e-9) & (can >= least) & (apart / 2 >= least)).select("x_sid", "y_sid").distinct()
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The later lines of the pairs whose whole sets, made again from the lines that came first, are similar."""
         pairs = keep(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("x_sid", "y_sid")).alias("sid")).distinct().join(first, "sid").select("sid", "o.dk", "o.line")
-        again = words.join(wanted, ["dk", "line"]).dropDuplicates(["sid"]).select("sid", "w")
-        whole = keep(_ordered(again, order, shingle), "whole")
+        whole = keep(words.join(wanted, ["dk", "line"]).select("sid", "w").dropDuplicates(["sid"]), "whole")
         free(spark)
-        both = pairs.join(whole.select(F.col("sid").alias("x_sid"), F.col("s").alias("xs")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("s").alias("ys")), "y_sid")
-        common = F.size(F.array_intersect("xs", "ys"))
-        out = keep(both.where(common >= t * (F.size("xs") + F.size("ys") - common) - 1e-9).select(F.col("x_sid").alias("sid")).distinct(), "similar")
+        both = pairs.join(whole.select(F.col("sid").alias("x_sid"), F.col("w").alias("xw")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("w").alias("yw")), "y_sid")
+        both = both.select("x_sid", *(F.array_distinct(_tokens(shingle, c)).alias(c) for c in ("xw", "yw")))
+        common = F.size(F.array_intersect("xw", "yw"))
+        shared_by = both.select("x_sid", common.alias("c"), (F.size("xw") + F.size("yw")).alias("n"))
+        out = keep(shared_by.where(F.col("c") >= t * (F.col("n") - F.col("c")) - 1e-9).select(F.col("x_sid").alias("sid")).distinct(), "similar")
         drop(pairs, whole)
         free(spark)
         return out
 
-    lead = keep(placed.groupBy("tok").agg(F.min(F.struct("o", "sid", "n", "at")).alias("y")), "lead")
-    led = x.join(lead, "tok").where(F.col("x_sid") != F.col("y.sid")).select("x_sid", "x_n", "x_at", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "n", "at")))
+    lead = keep(placed.groupBy("tok").agg(F.min(F.struct("o", "sid", "n", "m", "at")).alias("y")), "lead")
+    led = x.join(lead, "tok").where(F.col("x_sid") != F.col("y.sid")).select("x_sid", "x_n", "x_m", "x_at", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "n", "m", "at")))
     early = similar(near(led))
     left = x.join(early, x["x_sid"] == early["sid"], "left_anti")
-    y = placed.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "at", "o")))
+    y = placed.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "m", "at", "o")))
     late = similar(near(left.join(y, "tok").where("y_o < x_o")))
 
     # Every line of a set that resembles an earlier one goes; of the others all but the first line.

@@ -78,10 +78,10 @@ QUERIES = {"op1_simhash": op1_simhash, "op2_isomedia": op2_isomedia, "op3_langid
 #: Every pair of lines that share a pair of words is counted; the operator's filters have no part in it.
 LINES_SQL = """
 WITH l AS (
-  SELECT doc_id, i, list_filter(string_split_regex(lower(string_split(text, chr(10))[i]), '[ \\t\\x0B\\f\\r]+'), x -> x <> '') AS w
+  SELECT doc_id, i, list_filter(string_split_regex(lower(string_split(text, chr(10))[i]), '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
 ), s AS (
-  SELECT doc_id, i, CASE WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), k -> w[k] || ' ' || w[k + 1]))) END AS s FROM l WHERE len(w) > 0
+  SELECT doc_id, i, CASE WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) END AS s FROM l WHERE len(w) > 0
 ), placed AS (SELECT doc_id, i, s, row_number() OVER (ORDER BY doc_id, i) AS place FROM s),
 first AS (SELECT s, min(place) AS place, len(s) AS n FROM placed GROUP BY s),
 tokens AS (SELECT place, n, unnest(s) AS t FROM first),
@@ -93,7 +93,7 @@ similar_to AS (
   WHERE placed.place > first.place OR first.place IN (SELECT place FROM similar_to) GROUP BY doc_id
 ), cut AS (
   SELECT doc_id, lang, source, CASE WHEN gone IS NULL THEN text ELSE
-    coalesce(array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), k -> NOT list_contains(gone, k)), k -> string_split(text, chr(10))[k]), chr(10)), '') END AS text,
+    coalesce(array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda k: NOT list_contains(gone, k)), lambda k: string_split(text, chr(10))[k]), chr(10)), '') END AS text,
     coalesce(len(gone), 0) AS lines_removed
   FROM documents LEFT JOIN gone USING (doc_id)
 )
