@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import drop, free, keep
+from graphloom.llm.store import drop, free, keep, small
 
 SHINGLE = 2
 #: The order of tokens is that of 2 ** 17 buckets of their hashes, half a megabyte.  Any order gives the same decisions.
@@ -81,14 +81,14 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
     prefix = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * t - 1e-9).cast("int") + 1)
     parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     sets = keep(_ordered(words, order, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), parity.alias("m"), prefix.alias("p")), "sets")
-    first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines")), "first")
+    first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("m").alias("m")), "first")
 
-    postings = sets.select("sid", "n", "m", F.posexplode("p").alias("at", "tok"))
+    postings = sets.select("sid", F.posexplode("p").alias("at", "tok"))
     shared = keep(postings.groupBy("tok").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("tok"), "shared")
     free(spark)
-    met = keep(postings.join(shared, "tok").groupBy("tok", "sid").agg(*(F.first(c).alias(c) for c in ("n", "m", "at"))), "met")
+    met = keep(postings.join(small(shared), "tok").groupBy("tok", "sid").agg(F.first("at").alias("at")), "met")
     free(spark)
-    placed = keep(met.join(first.select("sid", "o"), "sid").select("tok", "sid", "n", "m", "at", "o"), "placed")
+    placed = keep(met.join(first.select("sid", "n", "m", "o"), "sid").select("tok", "sid", "n", "m", "at", "o"), "placed")
     drop(shared, met)
     free(spark)
     x = placed.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "m", "at", "o")))

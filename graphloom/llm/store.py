@@ -41,6 +41,17 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The size of the files of a table written by :func:`keep`."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """A kept table to be broadcast if its files are no larger than ``most_bytes``; beyond that it is joined by shuffling."""
+    return F.broadcast(df) if stored_bytes(df) <= most_bytes else df
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables written by :func:`keep` that nothing reads any more."""
     for df in tables:
