@@ -11,7 +11,7 @@ Single words can be tokens too (``shingle=1``), but their number hardly grows wi
 one do, and the pairs to be looked at with their square; pairs of words stay rare.
 
 How it stays linear: words are hashed once and kept as arrays of 32-bit numbers; equal sets are collapsed first and only their
-first line is compared; rarity comes from counts of all tokens in a fixed number of hash buckets, so the order is a table of
+first line is compared; rarity comes from counts of all words in a fixed number of hash buckets, so the order is a table of
 fixed size that any task can hold, and frequent tokens stay out of prefixes; only tokens that two different sets share are
 looked up again.  Where a token is in very many prefixes, its lines are first compared with the earliest of them, which is
 enough to remove most; only lines that are still there are compared with all earlier ones.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.store import drop, free, keep, small
 
 SHINGLE = 2
-#: The order of tokens is that of 2 ** 17 buckets of their hashes, half a megabyte.  Any order gives the same decisions.
+#: Words are counted in 2 ** 17 buckets of their hashes, a table of half a megabyte.  Any order gives the same decisions.
 BUCKET_BITS = 17
 SPACES = r"[\t\x0B\f\r]"
 
@@ -43,33 +43,30 @@ def _words(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "dk", "line", F.transform(F.array_remove(F.split("words", " ", -1), ""), lambda w: F.hash(w)).alias("w"))
 
 
-def _tokens(shingle: int, words: str = "w") -> Column:
-    """The hashes of the shingles of words; beyond the end there is nothing to hash, so a shorter line is one token."""
+def _shingles(words: str, shingle: int, token) -> Column:
+    """``token(words)`` of each shingle; beyond the end its words are null, so a line of fewer words is one token."""
     begin = F.slice(words, F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
-    return F.transform(begin, lambda x, i: F.xxhash64(x, *(F.get(F.col(words), i + j) for j in range(1, shingle))))
+    return F.transform(begin, lambda x, i: token([x, *(F.get(F.col(words), i + j) for j in range(1, shingle))]))
 
 
-def _order(words: DataFrame, shingle: int) -> DataFrame:
-    """One row with the place of each bucket of hashes when buckets are ordered by how often their tokens occur."""
-    met = words.select(F.explode(_tokens(shingle)).alias("h")).groupBy(F.shiftrightunsigned("h", 64 - BUCKET_BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = words.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
-    counted = every.union(met).groupBy("b").agg(F.sum("n").alias("n"))
-    by_count = counted.agg(F.array_sort(F.collect_list(F.struct("n", "b"))).alias("a"))
-    placed = by_count.select(F.expr("transform(array_sort(transform(a, (x, i) -> struct(x.b AS b, i AS i))), x -> int(x.i))").alias("place"))
-    return keep(placed, "order")
+def _levels(words: DataFrame) -> DataFrame:
+    """One row with the level of each bucket of word hashes: the logarithm of how often its words occur, in 16ths."""
+    met = words.select(F.explode("w").alias("w")).groupBy(F.shiftrightunsigned("w", 32 - BUCKET_BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = words.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    level = every.union(met).groupBy("b").agg(F.round(16 * F.log1p(F.sum("n"))).cast("int").alias("level"))
+    return keep(level.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "level"))), lambda x: x["level"]).alias("level")), "levels")
 
 
-def _ordered(words: DataFrame, order: DataFrame, shingle: int) -> DataFrame:
-    """``w`` replaced by the sorted set ``s``: a token's bits with the bucket's part replaced by the bucket's place, which loses
-    nothing and sorts rare ones first."""
-    rest, half = 64 - BUCKET_BITS, 1 << (BUCKET_BITS - 1)
-    held = words.withColumn("place", order.scalar())  # used once below, so it stays a constant and fills no column
+def _ordered(words: DataFrame, levels: DataFrame, shingle: int) -> DataFrame:
+    """``w`` replaced by the sorted set ``s`` of its tokens: the levels of a token's words, added up, then 52 bits of its hash.
+    The sum stands for how rare the words are expected to meet, so rare tokens come first."""
+    held = words.withColumn("level", levels.scalar())  # used once below, so it stays a constant and fills no column
 
-    def key(h: Column) -> Column:
-        at = F.coalesce(F.get("place", F.shiftrightunsigned(h, rest).cast("int")), F.lit(0)) - half
-        return F.shiftleft(at.cast("long"), rest).bitwiseOR(h.bitwiseAND(F.lit((1 << rest) - 1)))
+    def key(some: list[Column]) -> Column:
+        each = (F.coalesce(F.get("level", F.shiftrightunsigned(x, 32 - BUCKET_BITS)), F.lit(0)) for x in some)
+        return F.shiftleft(F.least(sum(each, F.lit(0)), F.lit(2047)).cast("long"), 52).bitwiseOR(F.xxhash64(*some).bitwiseAND(F.lit((1 << 52) - 1)))
 
-    return held.select(*(c for c in words.columns if c != "w"), F.sort_array(F.array_distinct(F.transform(_tokens(shingle), key))).alias("s"))
+    return held.select(*(c for c in words.columns if c != "w"), F.sort_array(F.array_distinct(_shingles("w", shingle, key))).alias("s"))
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
@@ -77,10 +74,10 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
     t, spark = F.lit(threshold), docs.sparkSession
     # Word hashes repeat, so a large dictionary makes them small.
     words = keep(_words(docs), "words", **{"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)})
-    order = _order(words, shingle)
+    levels = _levels(words)
     prefix = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * t - 1e-9).cast("int") + 1)
     parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    sets = keep(_ordered(words, order, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), parity.alias("m"), prefix.alias("p")), "sets")
+    sets = keep(_ordered(words, levels, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), parity.alias("m"), prefix.alias("p")), "sets")
     first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("m").alias("m")), "first")
 
     postings = sets.select("sid", F.posexplode("p").alias("at", "tok"))
@@ -107,7 +104,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
         whole = keep(words.join(wanted, ["dk", "line"]).select("sid", "w").dropDuplicates(["sid"]), "whole")
         free(spark)
         both = pairs.join(whole.select(F.col("sid").alias("x_sid"), F.col("w").alias("xw")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("w").alias("yw")), "y_sid")
-        both = both.select("x_sid", *(F.array_distinct(_tokens(shingle, c)).alias(c) for c in ("xw", "yw")))
+        both = both.select("x_sid", *(F.array_distinct(_shingles(c, shingle, lambda some: F.xxhash64(*some))).alias(c) for c in ("xw", "yw")))
         common = F.size(F.array_intersect("xw", "yw"))
         shared_by = both.select("x_sid", common.alias("c"), (F.size("xw") + F.size("yw")).alias("n"))
         out = keep(shared_by.where(F.col("c") >= t * (F.col("n") - F.col("c")) - 1e-9).select(F.col("x_sid").alias("sid")).distinct(), "similar")
@@ -127,7 +124,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
     repeated = first.where("lines > 1").select("sid", F.struct("o.dk", "o.line").alias("keep"))
     fate = repeated.join(gone.withColumn("all", F.lit(True)), "sid", "full").select("sid", "keep", F.coalesce("all", F.lit(False)).alias("all"))
     out = keep(sets.select("sid", "dk", "line").join(fate, "sid").where(F.col("all") | (F.struct("dk", "line") != F.col("keep"))).select("dk", "line"), "removed-lines")
-    drop(words, order, placed, lead, early, late, first, sets)
+    drop(words, levels, placed, lead, early, late, first, sets)
     free(spark)
     return out
 
