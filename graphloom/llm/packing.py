@@ -3,11 +3,16 @@
 Documents become pieces of at most ``capacity`` tokens; only longer documents are cut, each into full pieces and a
 rest.  The histogram of piece lengths (at most ``capacity`` rows, whatever the corpus) is all that planning sees:
 
-1. the configuration linear program (minimise the number of sequences, every length covered as often as it occurs)
-   is solved by multiplicative weights: each round an unbounded-knapsack dynamic program prices the best
-   configuration under the lengths' weights, that configuration gets a share, and the weights of what it covers fall;
-2. the fractional solution is rounded down, largest first, and the lengths left over are placed best-fit by
-   decreasing length, with equal bins handled as one, so that work depends on the histogram alone.
+1. lengths are put into classes of neighbours with about equal numbers of tokens, each as long as its longest (a class is
+   one length if there are few); the shortest pieces are kept back, as many as rounding up to classes can leave room for;
+2. the configuration linear program (minimise the number of sequences, every class covered as often as it occurs) is
+   solved by multiplicative weights over fixed demands: each round a knapsack dynamic program prices the best configuration
+   under the weights, it gets a share, and the weights of what it covers fall.  The weights of every round, divided by that
+   price, are a solution of the dual program and so bound the optimum; rounds end when the two values meet within a gap;
+3. the solution is rounded down to whole sequences.  What is left of each class is priced again under the weights of the best
+   bound, now with the pieces that are left as limits, and placed a configuration at a time;
+4. the pieces kept back go best-fit by decreasing length into what room is left, with equal bins handled as one, so that work
+   depends on the histogram alone.
 
 The plan is a table of rank ranges: the ``r``-th piece of a length goes to a computed sequence and offset.  Ranks are
 counted in buckets of each length, so a length that a third of all pieces share is spread over many tasks.
@@ -20,6 +25,7 @@ import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
@@ -29,9 +35,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.store import keep
 
-ROUNDS = 400
-#: How strongly a round's configuration lowers the weights of the lengths it covers.
-STEP = 0.5
+#: Lengths are put into so many classes for the program; its value and the dual bound are to meet within the gap.
+CLASSES = 64
+GAP = 0.01
+#: Pricing ends here at the latest (the gap that was reached is a figure of the plan); between two prices weights are updated so often.
+ROUNDS, UPDATES = 400, 150
+#: How strongly an update changes weights, over the root of the largest share that a configuration covers.
+STEP = 2.0
+#: Pieces of at most this share of the capacity may be kept back to fill gaps.
+SHORT = 1 / 8
 
 
 class Encoder:
@@ -172,109 +184,228 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     return rows.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity, end_id=end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _price(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest worth: an unbounded knapsack by dynamic programming over the capacity.
-    ``worth[i]`` belongs to ``lengths[i]``, ascending.  Returns how often each index is taken."""
+def _price(worth: np.ndarray, sizes: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration of greatest worth, at most ``limits`` of each size: a knapsack by dynamic programming over the
+    capacity, with each limit taken apart into powers of two.  Returns how often each size is taken."""
     best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], taken[c] = best[c - 1], -1
-        if k := upto[c]:
-            gain = worth[:k] + best[c - lengths[:k]]
-            i = int(gain.argmax())
-            if gain[i] > best[c]:
-                best[c], taken[c] = gain[i], i
-    out: dict[int, int] = {}
+    layers: list[tuple[int, int, np.ndarray]] = []
+    for i in np.flatnonzero((limits > 0) & (worth > 0) & (sizes <= capacity)):
+        size, left, some = int(sizes[i]), min(int(limits[i]), capacity // int(sizes[i])), 1
+        while left:
+            some = min(some, left)
+            with_it = best[: capacity + 1 - some * size] + some * worth[i]
+            better = with_it > best[some * size :]
+            layers.append((int(i), some, better))
+            best[some * size :] = np.maximum(with_it, best[some * size :])
+            left -= some
+            some *= 2
+    out = np.zeros(len(sizes), np.int64)
     c = capacity
-    while c > 0:
-        i = int(taken[c])
-        if i < 0:
-            c -= 1
-        else:
-            out[i] = out.get(i, 0) + 1
-            c -= int(lengths[i])
+    for i, some, better in reversed(layers):
+        at = c - some * int(sizes[i])
+        if at >= 0 and better[at]:
+            out[i] += some
+            c = at
     return out
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[float, dict[int, int]]]:
-    """Fractional solution of the configuration program: ``(how many sequences, {index of length: how often})``.
+@dataclass
+class Program:
+    """A solution of the configuration program: configurations and how many sequences each gets, covering all demands, with
+    its value, the best dual bound of the optimum, and the dual weights that give it."""
+
+    configurations: np.ndarray
+    times: np.ndarray
+    value: float
+    bound: float
+    weights: np.ndarray
+
 
-    Multiplicative weights: a configuration is used until it has covered a share ``step`` of its scarcest length,
-    and the weight of each length falls exponentially with the share covered.
+def program(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS, step: float = STEP) -> Program:
+    """Multiplicative weights on both sides over the demands ``counts``, which stay as they are.
+
+    Sizes have weights that fall with the share of their demand that configurations cover, configurations have weights that
+    rise with the weights of what they cover; both look one update ahead, which makes their averages settle fast.  The
+    knapsack then prices the averaged weights, which bounds the optimum, and adds the best configuration to those known.
     """
-    weight = lengths / capacity  # what a length costs at least, the dual solution to begin with
-    left = counts.astype(float)
-    out: list[tuple[float, dict[int, int]]] = []
+    demand, scale = counts.astype(float), float(sizes @ counts) / capacity
+    known = {c.tobytes(): None for c in np.diag(np.minimum(capacity // sizes, counts))}  # each size alone
+    covers = np.array([np.frombuffer(k, np.int64) * scale / demand for k in known])
+    size, config = sizes * demand / (sizes @ demand), np.full(len(known), 1 / len(known))
+    bound, weights, value, times = 0.0, sizes / capacity, np.inf, config
     for _ in range(rounds):
-        live = left >= 1
-        if not live.any():
+        worth = size / demand
+        best = _price(worth, sizes, counts, capacity)
+        price = float(best @ worth)
+        if size.sum() / price > bound:
+            bound, weights = size.sum() / price, worth / price
+        if value <= (1 + gap) * bound:
             break
-        index = np.flatnonzero(live)
-        found = {int(index[i]): k for i, k in _price(weight[index], lengths[index], capacity).items()}
-        times = min(left[i] / k for i, k in found.items())
-        if times < 1:  # more of a length than is left: its weight must fall
-            for i, k in found.items():
-                if left[i] < k:
-                    weight[i] *= np.exp(-step)
-            continue
-        times = max(1.0, times * step)
-        out.append((times, found))
-        for i, k in found.items():
-            left[i] -= times * k
-            weight[i] *= np.exp(-step * times * k / counts[i])
-    return out
-
-
-def plan(lengths: list[int], counts: list[int], capacity: int) -> np.ndarray:
-    """Where the pieces of each length go: rows ``(length, first rank, last rank + 1, how many to a sequence, first
-    sequence, offset of the first)``, sorted.  Full pieces and all others are covered exactly once."""
+        if best.tobytes() not in known:
+            known[best.tobytes()] = None
+            covers = np.vstack([covers, best * scale / demand])
+            config = np.append(config * (1 - 1 / len(known)), 1 / len(known))
+        eta = step / np.sqrt(covers.max())
+        log_size, log_config = np.log(np.maximum(size, 1e-30)), np.log(np.maximum(config, 1e-30))
+        all_size, all_config = np.zeros(len(size)), np.zeros(len(config))
+        was_size, was_config = covers.T @ config, covers @ size
+        for _ in range(UPDATES):
+            covered, paid = covers.T @ config, covers @ size
+            log_size -= eta * (2 * covered - was_size)
+            log_config += eta * (2 * paid - was_config)
+            was_size, was_config = covered, paid
+            log_size -= log_size.max()
+            log_config -= log_config.max()
+            size, config = np.exp(log_size), np.exp(log_config)
+            size /= size.sum()
+            config /= config.sum()
+            all_size += size
+            all_config += config
+        size, mean = all_size / UPDATES, all_config / UPDATES
+        least = float((covers.T @ mean).min())
+        if scale / max(least, 1e-300) < value:
+            value, times = scale / least, mean * scale / least
+    table = np.array([np.frombuffer(k, np.int64) for k in known])
+    return Program(table, np.append(times, np.zeros(len(table) - len(times))), value, bound, weights)
+
+
+def _classes(lens: np.ndarray, have: np.ndarray, classes: int) -> list[tuple[int, int]]:
+    """Ranges of ascending lengths with about equal numbers of tokens."""
+    if len(lens) <= classes:
+        return [(i, i + 1) for i in range(len(lens))]
+    tokens = np.cumsum(lens * have)
+    cuts = np.unique(np.searchsorted(tokens, tokens[-1] * np.arange(1, classes) / classes) + 1)
+    edges = [0, *(int(c) for c in cuts if c < len(lens)), len(lens)]
+    return [(a, b) for a, b in itertools.pairwise(edges) if a < b]
+
+
+@dataclass
+class Plan:
+    """``rows (length, first rank, last rank + 1, how many to a sequence, first sequence, offset of the first)``, sorted, and
+    figures: sequences, those that the program's configurations made, and its value and bound."""
+
+    rows: np.ndarray
+    sequences: int = 0
+    full: int = 0
+    by_program: int = 0
+    value: float = 0.0
+    bound: float = 0.0
+
+
+def plan(lengths: list[int], counts: list[int], capacity: int, classes: int = CLASSES) -> Plan:
+    """Where the pieces of each length go.  Every piece is covered exactly once."""
     order = np.argsort(lengths)
     lens, have = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
     used = np.zeros(len(lens), np.int64)
     rows: list[tuple[int, int, int, int, int, int]] = []
-    sequences = 0
+    out = Plan(np.empty((0, 6), np.int64))
 
     def place(times: int, config: dict[int, int]) -> None:
-        nonlocal sequences
         offset = 0
         for i in sorted(config, reverse=True):
             k, n = config[i], int(lens[i])
-            rows.append((n, int(used[i]), int(used[i]) + times * k, k, sequences, offset))
+            rows.append((n, int(used[i]), int(used[i]) + times * k, k, out.sequences, offset))
             used[i] += times * k
             offset += k * n
-        sequences += times
+        out.sequences += times
 
     if len(lens) and lens[-1] == capacity:
-        place(int(have[-1]), {len(lens) - 1: 1})
-    rest = np.flatnonzero(used < have)
-    if len(rest):
-        found = configurations(lens[rest], have[rest], capacity)
-        for times, config in sorted(found, key=lambda x: -x[0]):
-            config = {int(rest[i]): k for i, k in config.items()}
-            whole = min(int(times), *(int(have[i] - used[i]) // k for i, k in config.items()))
-            if whole:
-                place(whole, config)
-    # What rounding left: best fit by decreasing length, on bins that are alike taken together.
-    bins: dict[int, list[list]] = {}  # free space -> [how many, {index: how often}]
+        out.full = int(have[-1])
+        place(out.full, {len(lens) - 1: 1})
+    rest = int((lens < capacity).sum())
+    left = have[:rest].copy()
+    # Bins of equal contents: free space -> [how many, {index of length: how often}]
+    bins: dict[int, list[list]] = {}
     free: list[int] = []
 
-    def shelve(space: int, n: int, config: dict[int, int]) -> None:
+    def shelve(times: int, config: dict[int, int]) -> None:
+        space = capacity - sum(k * int(lens[i]) for i, k in config.items())
         if space not in bins:
             bisect.insort(free, space)
-        bins.setdefault(space, []).append([n, config])
-
-    for i in range(len(lens) - 1, -1, -1):
-        n, need = int(lens[i]), int(have[i] - used[i])
+        bins.setdefault(space, []).append([times, config])
+
+    if rest:
+        groups = _classes(lens[:rest], left, classes)
+        tokens = lens[:rest] * left
+        top = np.repeat([int(lens[b - 1]) for _, b in groups], [b - a for a, b in groups])
+        room = int(((top - lens[:rest]) * left).sum())
+        kept_back = 0
+        if room:
+            kept_back = min(int(np.searchsorted(np.cumsum(tokens), room, side="right")), int(np.searchsorted(lens[:rest], SHORT * capacity, side="right")))
+        if kept_back:
+            groups = [(a + kept_back, b + kept_back) for a, b in _classes(lens[kept_back:rest], left[kept_back:], classes)]
+        if groups:
+            sizes = np.array([int(lens[b - 1]) for _, b in groups])
+            held = np.zeros(len(groups), np.int64)  # pieces of configurations that best fit is to place
+            amount = lambda: np.array([int(left[a:b].sum()) for a, b in groups]) - held
+            # Too strong a step doesn't settle; weaker ones take longer.
+            solved = program(sizes, amount(), capacity)
+            for weaker in (STEP / 3, STEP / 9):
+                if solved.value > (1 + 3 * GAP) * solved.bound:
+                    solved = min(solved, program(sizes, amount(), capacity, step=weaker), key=lambda x: x.value)
+            out.value, out.bound = solved.value, solved.bound
+            at = [b - 1 for _, b in groups]  # the longest piece left of each class
+
+            def fill(times: int, config: np.ndarray) -> None:
+                """So many sequences of a configuration, filled with the longest pieces left of each class.  Of three pieces or
+                more the shortest is left to best fit, which finds one that fits the gap exactly if there is any."""
+                out.by_program += times
+                if config.sum() > 1:
+                    last = int(np.flatnonzero(config)[0])
+                    config = config.copy()
+                    config[last] -= 1
+                    held[last] += times
+                while times:
+                    own: dict[int, int] = {}
+                    alike = times
+                    for g in np.flatnonzero(config):
+                        need = int(config[g])
+                        while need:
+                            while not left[at[g]]:
+                                at[g] -= 1
+                            some = min(need, int(left[at[g]]) - own.get(at[g], 0))
+                            if some:
+                                own[at[g]] = own.get(at[g], 0) + some
+                                need -= some
+                            if need:
+                                alike = 1
+                                nxt = at[g] - 1
+                                while own.get(nxt, 0) >= left[nxt]:
+                                    nxt -= 1
+                                more = min(need, int(left[nxt]))
+                                own[nxt] = more
+                                need -= more
+                                while need:
+                                    nxt -= 1
+                                    more = min(need, int(left[nxt]))
+                                    if more:
+                                        own[nxt] = more
+                                        need -= more
+                    alike = min(alike, *(int(left[i]) // k for i, k in own.items()))
+                    for i, k in own.items():
+                        left[i] -= alike * k
+                    shelve(alike, own)
+                    times -= alike
+
+            for k in np.argsort(-solved.times, kind="stable"):
+                config, still = solved.configurations[k], amount()
+                whole = min(int(solved.times[k]), int((still[config > 0] // config[config > 0]).min()))
+                if whole:
+                    fill(whole, config)
+            while (still := amount()).any():
+                config = _price(solved.weights, sizes, still, capacity)
+                fill(int((still[config > 0] // config[config > 0]).min()), config)
+    # The pieces kept back: best fit by decreasing length, on bins that are alike taken together.
+    for i in range(rest - 1, -1, -1):
+        n, need = int(lens[i]), int(left[i])
         while need:
-            at = bisect.bisect_left(free, n)
-            if at == len(free):
+            at_space = bisect.bisect_left(free, n)
+            if at_space == len(free):
                 most = min(capacity // n, need)
-                times = need // most
-                shelve(capacity - most * n, times, {i: most})
-                need -= times * most
+                shelve(need // most, {i: most})
+                need -= need // most * most
                 continue
-            space = free[at]
+            space = free[at_space]
             group = bins[space][-1]
             k = min(space // n, need)
             times = min(group[0], need // k)
@@ -284,14 +415,15 @@ def plan(lengths: list[int], counts: list[int], capacity: int) -> np.ndarray:
                 bins[space].pop()
                 if not bins[space]:
                     del bins[space]
-                    free.pop(at)
+                    free.pop(at_space)
             config[i] = config.get(i, 0) + k
-            shelve(space - k * n, times, config)
+            shelve(times, config)
             need -= times * k
-    for groups in bins.values():
-        for times, config in groups:
+    for some in bins.values():
+        for times, config in some:
             place(times, config)
-    return np.array(sorted(rows), np.int64).reshape(-1, 6)
+    out.rows = np.array(sorted(rows), np.int64).reshape(-1, 6)
+    return out
 
 
 def _assign(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -319,12 +451,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     ids are kept.  An empty table gives no rows.  Other columns are ignored.
     """
     cut = keep(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    buckets = max(1, cut.count() // bucket_rows)
     order = ["doc_id", "piece", "ids_crc32"]
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = keep(cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    histogram = sizes.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()  # at most `capacity` rows
-    table = plan([r["length"] for r in histogram], [r["n"] for r in histogram], capacity)
+    histogram = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()  # at most `capacity` rows
+    table = plan([r["length"] for r in histogram], [r["n"] for r in histogram], capacity).rows
+    # Each length has buckets by its own count; this table has as many rows as the histogram.
+    buckets = docs.sparkSession.createDataFrame([(r["length"], -(-r["n"] // bucket_rows)) for r in histogram], "length long, buckets long")
+    cut = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets")))
+    sizes = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy(*order)
