@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import keep
+from graphloom.llm.store import drop, keep
 
 ARCHIVE_BYTES = 8 << 20
 END = b"\r\n\r\n"
@@ -103,21 +103,26 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, archive_bytes
     that tells equal rows apart.  Rows without ``page_id`` have none in their metadata and count last as a response.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    mark = F.substring(F.sha2(F.concat(F.coalesce(F.octet_length("url"), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce("url", F.lit("")), "html"), 256), 1, 32)
-    rows = rows.select(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), mark).alias("id"), "page_id", "url", "html")
-    # Equal rows are one until they are written; texts are shuffled once, by ``id``.
-    # One struct, so that both uses below need the same columns and share that shuffle.
-    rows = rows.groupBy("id").agg(F.min(F.struct("page_id", "url", "html")).alias("r"), F.count(F.lit(1)).alias("n")).select("id", "r.page_id", "r.url", "r.html", "n")
-    # Payloads are told apart by digest and length; only groups of several are looked up.
-    same = rows.where(F.octet_length("html") >= min_revisit_bytes).select("id", "page_id", "n", F.sha2("html", 256).alias("digest"))
-    first = same.groupBy("digest").agg(F.max(F.struct("page_id", "id")).alias("r"), F.sum("n").alias("n")).where("n > 1").select("digest", F.concat("r.id", F.lit(":1")).alias("refers"))
-    groups = same.join(first, "digest").select("id", "refers")
-    known = rows.join(groups, "id", "left").select("id", "page_id", "url", "html", "refers", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("number"))
+    rows = rows.withColumn("digest", F.sha2("html", 256))
+    mark = F.substring(F.sha2(F.concat(F.coalesce(F.octet_length("url"), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce("url", F.lit("")), "digest"), 256), 1, 32)
+    rows = rows.withColumn("id", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), mark))
+    # Who is the response is found on identifiers and digests alone; payloads are shuffled once, to be told.
+    whole = F.octet_length("html") >= min_revisit_bytes
+    copies = keep(rows.select("id", "page_id", F.when(whole, F.col("digest")).alias("digest")).groupBy("id", "page_id", "digest").agg(F.count(F.lit(1)).alias("n")), "copies")
+    first = copies.where("digest IS NOT NULL").groupBy("digest").agg(F.max(F.struct("page_id", "id")).alias("r"), F.sum("n").alias("all")).where("all > 1").select("digest", F.concat("r.id", F.lit(":1")).alias("refers"))
+    special = keep(copies.join(first, "digest", "left").where("n > 1 OR refers IS NOT NULL").select("id", "n", "refers"), "special")
+    columns = ["id", "page_id", "url", "html", "refers"]
+    known = rows.join(special, "id", "left").where("n IS NULL OR n = 1").select(*columns, F.lit(1).cast("long").alias("number"))
+    equal = special.where("n > 1")
+    if not equal.isEmpty():  # equal rows become one, which is written as often as they occur
+        one = rows.join(equal, "id").groupBy("id").agg(F.min(F.struct("page_id", "url", "html", "refers", "n")).alias("r"))
+        known = known.union(one.select("id", *(f"r.{c}" for c in columns[1:]), F.explode(F.sequence(F.lit(1).cast("long"), "r.n"))))
     known = known.select(F.concat_ws(":", "id", F.col("number").cast("string")).alias("key"), "page_id", "url", "html", "refers")
     known = known.withColumn("refers", F.when(F.col("key") != F.col("refers"), F.col("refers")))
     packed = known.mapInArrow(partial(_archives, most=archive_bytes), "value binary")
     writer = packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1)
     writer.option("compression", compression).text(path)
+    drop(copies, special)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -211,19 +216,22 @@ def transactions(records: DataFrame) -> DataFrame:
 
     ``response`` is the response or revisit record.  Requests and metadata belong to the record that they name in
     ``WARC-Concurrent-To``; ``metadata`` is an array, as there can be several.  Captures without a request or metadata
-    have null and an empty array; records concurrent to nothing known have no row.  Of repeated copies of a record
-    one counts.
+    have null and an empty array; records concurrent to nothing known have no row.  Of repeated records with one identifier the
+    least counts, compared column by column, and of several requests too.  A row is made by one aggregation over all records.
     """
     names = [c for c in records.columns if c != "error"]
-    row = F.struct(*names)
-    sane = records.where("error IS NULL AND record_id IS NOT NULL")
-    heads = sane.where("type IN ('response', 'revisit')").groupBy(F.col("record_id").alias("capture_id")).agg(F.first(row).alias("response"))
-    slim = F.struct(*(n for n in names if n != "headers"), F.map_entries("headers").alias("headers")) if "headers" in names else row
-    others = sane.where("concurrent_to IS NOT NULL AND type IN ('request', 'metadata')").groupBy(F.col("concurrent_to").alias("capture_id")).agg(
-        F.first(F.when(F.col("type") == "request", row), ignorenulls=True).alias("request"),
-        F.array_sort(F.collect_set(F.when(F.col("type") == "metadata", slim))).alias("metadata"),
+    # Maps have no order; their entries do.
+    plain = F.struct(*(F.map_entries(n).alias(n) if n == "headers" else F.col(n) for n in names))
+    back = lambda r: F.when(F.col(r).isNotNull(), F.struct(*(F.map_from_entries(f"{r}.{n}").alias(n) if n == "headers" else F.col(f"{r}.{n}") for n in names)))
+    head = F.col("type").isin("response", "revisit")
+    other = F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull()
+    sane = records.where("error IS NULL AND record_id IS NOT NULL").where(head | other)
+    met = sane.groupBy(F.when(head, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id")).agg(
+        F.min(F.when(head, plain)).alias("head"),
+        F.min(F.when(F.col("type") == "request", plain)).alias("asked"),
+        F.array_sort(F.collect_set(F.when(F.col("type") == "metadata", plain))).alias("metadata"),
     )
-    return heads.join(others, "capture_id", "left").select("capture_id", "response.uri", "response.date", "response", "request", F.coalesce("metadata", F.array()).alias("metadata"))
+    return met.where("head IS NOT NULL").select("capture_id", "head.uri", "head.date", back("head").alias("response"), back("asked").alias("request"), "metadata")
 
 
 def captures(pages: DataFrame, path: str, min_revisit_bytes: int = 0, compression: str = "none") -> DataFrame:
