@@ -2,8 +2,10 @@
 
 Rules decide the URLs that they fit.  They also seed the graph: a host is trusted by the share of its pages that
 rules allow, and distrusted by the share that they block.  Trust follows links forward (personalised PageRank from
-the trusted hosts); distrust follows them backward, from a blocked host to the hosts that link to it.  A host is
-blocked if its distrust reaches a threshold and exceeds its trust, which decides all its URLs that no rule fits.
+the trusted hosts); distrust follows them backward, from a blocked host to every host that links to it, in proportion to
+the share of that host's links: a host has as much distrust as a reader would meet who follows its links, however many other
+hosts link to the same blocked one.  A host is blocked if its distrust reaches a threshold and exceeds its trust, which
+decides all its URLs that no rule fits.
 """
 
 from __future__ import annotations
@@ -60,25 +62,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """``(host, trust, distrust)`` of every host of ``seeds (host, trust, distrust)`` and ``edges (src, dst, n)``.
 
-    A round sends ``damping`` of a host's trust along its links, in proportion to ``n``, and of its distrust against
-    them; the rest comes from the seeds.  A host without links out (in) keeps its trust (distrust) to itself.  It ends
-    once no score moves by more than ``tolerance``, however many rounds that takes, or after ``rounds`` if they are given.
-    A round is written to the shared folder; scores never leave the cluster.
+    A round sends ``damping`` of a host's trust along its links, in proportion to ``n``, and gives it ``damping`` of the
+    distrust of the hosts that it links to, in the same proportion; the rest comes from the seeds.  A host without links out
+    keeps its own.  It ends once no score moves by more than ``tolerance``, however many rounds that takes, or after ``rounds``
+    if they are given.  A round is written to the shared folder; scores never leave the cluster.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
     zero = F.lit(0.0)
     base = keep(
         seeds.select("host", "trust", "distrust")
         .union(edges.select(F.explode(F.array("src", "dst")).alias("host"), zero, zero))
         .groupBy("host").agg(F.max("trust").alias("trust"), F.max("distrust").alias("distrust")), "base",
     )
-    ends = base.select("host", F.lit(1).alias("one"))
+    ends = base.select("host", F.lit(1.0).alias("one"))
+    share = keep(edges.join(keep(out, "out"), "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "share")
     steps = keep(
-        edges.join(keep(out, "out"), "src").select(F.col("src").alias("sender"), F.col("dst").alias("host"), (F.col("n") / F.col("all")).alias("ahead"), zero.alias("back"))
-        .union(edges.join(keep(into, "into"), "dst").select("dst", "src", zero, F.col("n") / F.col("all")))
-        .union(ends.join(out, ends["host"] == out["src"], "left_anti").select("host", "host", F.lit(1.0), zero))
-        .union(ends.join(into, ends["host"] == into["dst"], "left_anti").select("host", "host", zero, F.lit(1.0))), "steps",
+        share.select(F.col("src").alias("sender"), F.col("dst").alias("host"), F.col("share").alias("ahead"), zero.alias("back"))
+        .union(share.select("dst", "src", zero, "share"))
+        .union(ends.join(out, ends["host"] == out["src"], "left_anti").select("host", "host", "one", "one")), "steps",
     )
     now = base
     for _ in range(MOST_ROUNDS if rounds is None else rounds):
