@@ -66,6 +66,14 @@ def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -
             yield from walk(data, body, stop, (*path, kind))
 
 
+#: Flags of fragments: what a track fragment header and a run of samples hold, and the mark of samples that are no keyframe.
+TFHD = (("base", 0x1, ">Q"), ("description", 0x2, ">I"), ("duration", 0x8, ">I"), ("size", 0x10, ">I"), ("flags", 0x20, ">I"))
+TFHD_FROM_MOOF = 0x20000
+TRUN_OFFSET, TRUN_FIRST_FLAGS = 0x1, 0x4
+TRUN_FIELDS = (("duration", 0x100), ("size", 0x200), ("flags", 0x400), ("shift", 0x800))
+NO_KEYFRAME = 0x10000
+
+
 def _table(data: memoryview, at: int, stop: int, kind: str, width: int = 1) -> np.ndarray:
     """A counted table: a 32-bit count, then rows of ``width`` numbers."""
     (n,) = struct.unpack_from(">I", data, at)
@@ -83,6 +91,9 @@ class Track:
         self.handler = self.codec = ""
         self.sizes = self.runs = self.chunks = self.deltas = np.empty(0, np.int64)
         self.sync: np.ndarray | None = None
+        self.defaults = {"duration": 0, "size": 0, "flags": 0}
+        self.pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # offsets, sizes, keyframe or not, of each run of a fragment
+        self.added = 0  # the duration of all fragments
 
     def read(self, data: memoryview, kind: bytes, at: int, stop: int) -> None:
         version = data[at] if stop > at else 0
@@ -90,6 +101,8 @@ class Track:
             (self.id,) = struct.unpack_from(">I", data, at + (20 if version else 12))
         elif kind == b"mdhd":
             self.scale, self.length = struct.unpack_from(">IQ" if version else ">II", data, at + (20 if version else 12))
+            if self.length >= (1 << 63 if version else (1 << 32) - 1):  # not known
+                self.length = 0
         elif kind == b"hdlr":
             self.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
         elif kind == b"stsd":
@@ -97,14 +110,20 @@ class Track:
                 self.codec = bytes(data[at + 12 : at + 16]).decode("latin-1").strip()
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, at + 4)
+            if same and n * same > len(data):
+                raise Broken("more samples than the file holds")
             self.sizes = np.full(n, same, np.int64) if same else _table(data, at + 8, stop, ">u4")[:, 0]
         elif kind == b"stz2":
             bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
             if bits == 4:
+                if at + 12 + (n + 1) // 2 > stop:
+                    raise Broken("a sample table is longer than its box")
                 raw = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
                 self.sizes = np.stack([raw >> 4, raw & 15], 1).reshape(-1)[:n].astype(np.int64)
-            else:
+            elif bits in (8, 16):
                 self.sizes = _table(data, at + 8, stop, ">u2" if bits == 16 else ">u1")[:, 0]
+            else:
+                raise Broken(f"sample sizes of {bits} bits")
         elif kind == b"stsc":
             self.runs = _table(data, at + 4, stop, ">u4", 3)
         elif kind in (b"stco", b"co64"):
@@ -114,45 +133,117 @@ class Track:
         elif kind == b"stss":
             self.sync = _table(data, at + 4, stop, ">u4")[:, 0]
 
+    def fragment(self, data: memoryview, kind: bytes, at: int, stop: int, state: dict) -> None:
+        """A header or a run of samples of a track fragment; ``state`` goes from box to box of a fragment."""
+        flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
+        if kind == b"tfhd":
+            state |= {"flags": self.defaults["flags"], "size": self.defaults["size"], "duration": self.defaults["duration"]}
+            place = at + 8
+            for name, flag, form in TFHD:
+                if flags & flag:
+                    (state[name],) = struct.unpack_from(form, data, place)
+                    place += struct.calcsize(form)
+            if not flags & 0x1:
+                state["base"] = state["moof"] if flags & TFHD_FROM_MOOF or "end" not in state else state["end"]
+            state["next"] = state["base"]
+            return
+        (n,) = struct.unpack_from(">I", data, at + 4)
+        place, first = at + 8, None
+        if flags & TRUN_OFFSET:
+            state["next"] = state["base"] + struct.unpack_from(">i", data, place)[0]
+            place += 4
+        if flags & TRUN_FIRST_FLAGS:
+            (first,) = struct.unpack_from(">I", data, place)
+            place += 4
+        held = [name for name, flag in TRUN_FIELDS if flags & flag]
+        if place + 4 * len(held) * n > stop:
+            raise Broken("a run of samples is longer than its box")
+        if n > len(data):
+            raise Broken("more samples than the file holds")
+        table = np.frombuffer(data, ">u4", n * len(held), place).astype(np.int64).reshape(n, len(held))
+        field = {name: table[:, held.index(name)] if name in held else np.full(n, state.get(name, 0), np.int64) for name, _ in TRUN_FIELDS}
+        if first is not None and n and "flags" not in held:
+            field["flags"][0] = first
+        sizes = field["size"]
+        total = int(sizes.sum())
+        if state["next"] < 0 or state["next"] + total > len(data):
+            raise Broken("a sample ends after the file")
+        self.pieces.append((state["next"] + np.cumsum(sizes) - sizes, sizes, field["flags"] & NO_KEYFRAME == 0))
+        self.added += int(field["duration"].sum())
+        state["next"] = state["end"] = state["next"] + total
+
     def offsets(self) -> np.ndarray:
-        """The byte offset of each sample."""
+        """The byte offset of each sample of the sample tables."""
         if not len(self.sizes):
             return np.empty(0, np.int64)
         if not len(self.runs) or not len(self.chunks):
             raise Broken("samples without chunks")
+        if self.runs[0, 0] != 1 or (np.diff(self.runs[:, 0]) <= 0).any() or self.runs[-1, 0] > len(self.chunks):
+            raise Broken("chunks aren't in order")
         ends = np.append(self.runs[1:, 0], len(self.chunks) + 1)
-        per_chunk = np.repeat(self.runs[:, 1], np.maximum(ends - self.runs[:, 0], 0))
-        if per_chunk.sum() != len(self.sizes) or len(per_chunk) != len(self.chunks):
+        per_chunk = np.repeat(self.runs[:, 1], ends - self.runs[:, 0])
+        if per_chunk.sum() != len(self.sizes):
             raise Broken("chunks and samples don't add up")
+        upto = np.append(0, np.cumsum(self.sizes))
         first = np.cumsum(per_chunk) - per_chunk
-        upto = np.cumsum(self.sizes) - self.sizes
         chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
-        return self.chunks[chunk] + upto - upto[first[chunk]]
+        at = self.chunks[chunk] + upto[:-1] - upto[first[chunk]]
+        if at.min() < 0:
+            raise Broken("a sample before the file")
+        return at
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offset, size and keyframe or not of each sample, those of the tables first, then those of fragments."""
+        at = self.offsets()
+        key = np.ones(len(at), bool) if self.sync is None else np.zeros(len(at), bool)
+        if self.sync is not None:
+            if len(self.sync) and (self.sync.min() < 1 or self.sync.max() > len(at)):
+                raise Broken("a sync sample that isn't there")
+            key[self.sync - 1] = True
+        return tuple(np.concatenate(x) for x in zip((at, self.sizes, key), *self.pieces, strict=True))
 
     def duration(self) -> int:
-        return self.length or int((self.deltas[:, 0] * self.deltas[:, 1]).sum()) if len(self.deltas) else self.length
+        """As stated, or as the tables say; with what fragments add."""
+        return (self.length or sum(int(n) * int(d) for n, d in self.deltas.tolist())) + self.added
 
     def keyframes(self) -> list[tuple[int, int, int]]:
-        """``(number, offset, length)`` of each keyframe sample; without a sync table every sample is one."""
-        at = self.offsets()
-        which = np.arange(len(at)) if self.sync is None else self.sync - 1
-        if len(which) and (which.min() < 0 or which.max() >= len(at)):
-            raise Broken("a sync sample that isn't there")
-        return list(zip((which + 1).tolist(), at[which].tolist(), self.sizes[which].tolist(), strict=True))
+        """``(number, offset, length)`` of each keyframe sample; without a sync table every sample of the tables is one."""
+        at, sizes, key = self.samples()
+        which = np.flatnonzero(key)
+        return list(zip((which + 1).tolist(), at[which].tolist(), sizes[which].tolist(), strict=True))
 
 
 def parse(data: bytes) -> tuple[str, list[Track]]:
-    """The major brand and the tracks of a container."""
+    """The major brand and the tracks of a container, fragments included."""
     view = memoryview(data)
-    brand, tracks = "", []
+    brand, tracks, trex = "", [], {}
+    moof = end = 0  # where the fragment begins, and where the last box of the file ended
+    state: dict = {}
     try:
         for path, at, stop in walk(view, 0, len(view)):
+            if len(path) == 1:
+                moof, end = end, stop
+                state = {"moof": moof}
             if path == (b"ftyp",):
                 brand = bytes(view[at : at + 4]).decode("latin-1")
             elif path == (b"moov", b"trak"):
                 tracks.append(Track())
             elif path[:2] == (b"moov", b"trak"):
                 tracks[-1].read(view, path[-1], at, stop)
+            elif path == (b"moov", b"mvex", b"trex"):
+                number, _, duration, size, flags = struct.unpack_from(">5I", view, at + 4)
+                trex[number] = {"duration": duration, "size": size, "flags": flags}
+            elif path == (b"moof", b"traf", b"tfhd"):
+                (number,) = struct.unpack_from(">I", view, at + 4)
+                state["track"] = next((t for t in tracks if t.id == number), None)
+                if state["track"] is None:
+                    raise Broken(f"a fragment of track {number}, which isn't there")
+                state["track"].defaults = trex.get(number, state["track"].defaults)
+                state["track"].fragment(view, b"tfhd", at, stop, state)
+            elif path == (b"moof", b"traf", b"trun"):
+                if "track" not in state:
+                    raise Broken("a run of samples without its header")
+                state["track"].fragment(view, b"trun", at, stop, state)
     except (struct.error, IndexError) as e:
         raise Broken(f"a box is cut short: {e}") from None
     if not brand and not tracks:
@@ -161,11 +252,11 @@ def parse(data: bytes) -> tuple[str, list[Track]]:
 
 
 def samples(data: bytes, track: Track) -> bytes:
-    """The stored bytes of a track, found through its sample tables."""
-    at = track.offsets()
+    """The stored bytes of a track, found through its sample tables and fragments."""
+    at, sizes, _ = track.samples()
     if not len(at):
         return b""
-    ends = at + track.sizes
+    ends = at + sizes
     if ends.max() > len(data):
         raise Broken("a sample ends after the file")
     cuts = np.flatnonzero(at[1:] != ends[:-1]) + 1  # neighbouring samples are read together
@@ -242,14 +333,15 @@ def _describe(data: bytes | None) -> tuple[str | None, list[dict] | None, str |
         return None, None, None
     try:
         brand, tracks = parse(data)
-        return brand, [
-            {
-                "track_id": t.id, "handler": t.handler, "codec": t.codec, "timescale": t.scale, "duration": t.duration(), "seconds": t.duration() / t.scale if t.scale else None,
-                "samples": len(t.sizes), "media_bytes": int(t.sizes.sum()), "keyframes": [dict(zip(("sample", "offset", "length"), k, strict=True)) for k in t.keyframes()],
-            }
-            for t in tracks
-        ], None
-    except Broken as e:
+        found = []
+        for t in tracks:
+            sizes, length = t.samples()[1], t.duration()
+            keys = [dict(zip(("sample", "offset", "length"), k, strict=True)) for k in t.keyframes()]
+            found.append({"track_id": t.id, "handler": t.handler, "codec": t.codec, "timescale": t.scale, "duration": length, "seconds": length / t.scale if t.scale else None, "samples": len(sizes), "media_bytes": int(sizes.sum()), "keyframes": keys})
+            if t.id >= 1 << 31 or length >= 1 << 63:
+                raise Broken("a number that fits no column")
+        return brand, found, None
+    except (ValueError, OverflowError) as e:  # a Broken is a ValueError
         return None, None, str(e)
 
 
