@@ -32,17 +32,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, bytes, offsets of the rows)``; null counts as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.utf8_lower(texts)
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    """``(first row, bytes, offsets of the rows)``; null counts as empty.  Only a slice at a time is copied or lower-cased."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
-        yield row, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        end = max(row + 1, int(np.searchsorted(size, size[row] + most, side="right")) - 1)
+        part = pc.fill_null(texts.slice(row, end - row).cast(pa.large_string()), "")
+        if lower:
+            part = pc.utf8_lower(part)
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        yield row, raw[offsets[0] : offsets[-1]], offsets - offsets[0]
         row = end
 
 
@@ -94,22 +95,46 @@ def row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row, values, rows)
 
 
-def lowest(rows, column: str, counts: dict, most: int):
-    """``(doc_id, column)``: for each value of ``column`` the ``most`` rows (at most) whose ids hash lowest.  ``counts`` has the
-    rows of each value: from a large table only hashes that can be among the lowest are sent anywhere."""
+def lowest(rows, column: str, most: int):
+    """``(doc_id, column)``: for each value of ``column`` the ``most`` different ids (at most) that hash lowest.  From a large
+    table only ids are sorted that can be among the lowest: four times as many as needed are expected, and 200 more."""
     from pyspark.sql import functions as F
 
-    out = None
-    for value, n in sorted(counts.items()):
-        some = rows.where(F.col(column) == value).withColumn("_h", F.xxhash64("doc_id"))
-        share = 4 * most / n
-        if share < 1 and most >= 100:  # four times as many as needed are expected below; far fewer don't happen
+    kinds = {r[column]: r["n"] for r in rows.groupBy(column).agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # as many rows as values
+    out = rows.select("doc_id", column).limit(0)
+    for value, n in sorted(kinds.items()):
+        some = rows.where(F.col(column) == value).select(F.xxhash64("doc_id").alias("_h"), "doc_id", column)
+        share = (4 * most + 200) / max(n, 1)
+        if share < 1:
             some = some.where(F.col("_h") < int(share * (1 << 64)) - (1 << 63))
-        some = some.orderBy("_h", "doc_id").select("doc_id", column).limit(most)
-        out = some if out is None else out.union(some)
+        out = out.union(some.distinct().orderBy("_h", "doc_id").select("doc_id", column).limit(most))
     return out
 
 
+def sample(docs, marks, most_docs: int, most_bytes: int) -> list[tuple[int, object, str]]:
+    """``(doc_id, label, text)`` of a bounded sample of the labelled documents ``marks (doc_id, label)``, whole texts all:
+    for each label the ids that hash lowest, at most ``most_docs`` of them and until their texts are ``most_bytes`` together.
+    A text that is longer than that alone is never in a sample.  Of rows with one id, the least text and label count."""
+    from pyspark.sql import functions as F
+
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = lowest(marks, "label", most_docs)
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.max(F.octet_length("text")).alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    room: dict[object, int] = {}
+    ids = []
+    for r in sorted(found, key=lambda r: r["h"]):
+        n = room.get(r["label"], most_bytes) - (r["n"] or 0)
+        if n >= 0:
+            room[r["label"]] = n
+            ids.append((r["doc_id"], r["label"]))
+    if not ids:
+        return []
+    small = spark.createDataFrame(ids, marks.schema)  # at most `most_docs` ids of each label
+    got = texts.join(F.broadcast(small), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return sorted(((r["doc_id"], r["label"], r["text"]) for r in got), key=lambda r: r[0])
+
+
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id's decimal text, as a Column: the folds of the classifiers."""
     from pyspark.sql import functions as F

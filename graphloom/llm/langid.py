@@ -24,9 +24,8 @@ from graphloom.llm import features
 BITS = 14
 SIZES = (1, 2, 3)
 CENTROIDS = 4
-#: Bounds of the training sample: texts of each language, and characters of each text.
-SAMPLE_DOCS = 1000
-SAMPLE_CHARS = 4000
+#: Bounds of the training sample for each language, parameters of :func:`identify`: whole texts, and bytes of them together.
+SAMPLE_DOCS, SAMPLE_BYTES = 1000, 16 << 20
 #: A text is rejected if it is farther from its centroid than this share of the training texts, times a margin.
 QUANTILE, MARGIN = 0.999, 1.25
 UNKNOWN = "und"
@@ -183,24 +182,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(partial(_predicted, model=model), f"doc_id long, {PREDICTED}")
 
 
-def train(docs: DataFrame, training: Column) -> Model:
+def train(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on rows of ``docs (doc_id, text, lang)`` where ``training`` holds and ``lang`` isn't null: document frequencies
-    from all of them, centroids from at most ``SAMPLE_DOCS`` of each language, those whose ids hash lowest."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(training).where("lang IS NOT NULL AND text IS NOT NULL")
+    from all of them, centroids from a sample of whole texts of each language (:func:`features.sample`)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label")).where(training).where("label IS NOT NULL AND text IS NOT NULL")
     idf = inverse_frequencies(rows.select("text"))
-    kinds = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as languages
-    chosen = features.lowest(rows.select("doc_id", "lang"), "lang", kinds, SAMPLE_DOCS)
-    small = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    got = small.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect() if kinds else []
-    got = [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"]))]
-    return fit(got, idf)
+    return fit(sorted((r[1], r[2]) for r in features.sample(rows, rows.select("doc_id", "label").where("doc_id IS NOT NULL"), sample_docs, sample_bytes)), idf)
 
 
-def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, held: int = 2, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, distance, rejected)`` for every row; documents whose ``crc32(doc_id) mod folds``
     is ``held`` are never learned from.  A null ``doc_id`` counts as held out."""
     fold = features.crc32_of_id() % folds
-    return predict(docs, train(docs, F.coalesce(fold != held, F.lit(False)))).select("doc_id", F.coalesce(fold == held, F.lit(True)).alias("held_out"), "lang_pred", "score", "distance", "rejected")
+    model = train(docs, F.coalesce(fold != held, F.lit(False)), sample_docs, sample_bytes)
+    return predict(docs, model).select("doc_id", F.coalesce(fold == held, F.lit(True)).alias("held_out"), "lang_pred", "score", "distance", "rejected")
 
 
 def keep_known(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import features
 from graphloom.llm.features import crc32_of_id
-from graphloom.llm.toxicity import sample
+from graphloom.llm.toxicity import marks
 
 BITS = 16
-#: Bounds of the training sample: documents of each grade, and characters of each document.
-SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 5000
+#: Bounds of the training sample for each grade, parameters of :func:`quality`: whole documents, and bytes of them together.
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 8 << 20
 STEPS = 60
 SHAPES, WORDS, REPEATS = 0, 1 << BITS, 2 << BITS
 TOTAL = (2 << BITS) + 1
@@ -99,7 +98,7 @@ def fit(texts: list[str], graded: list[int], steps: int = STEPS, decay: float =
     if k < 1:
         return Model(grades or [0], np.zeros(TOTAL), np.empty(0))
     y = np.searchsorted(grades, graded)
-    parts = [(k + row0 * TOTAL, a) for row0, raw, offsets in features.slices(pa.array([(t or "")[:SAMPLE_CHARS] for t in texts], pa.string())) for k, a in [_vectors(raw, offsets)]]
+    parts = [(k + row0 * TOTAL, a) for row0, raw, offsets in features.slices(pa.array([t or "" for t in texts], pa.string())) for k, a in [_vectors(raw, offsets)]]
     key, amount = (np.concatenate([p[i] for p in parts]) for i in range(2))
     row, what = (key // TOTAL).astype(np.int32), (key % TOTAL).astype(np.int32)
     share = 1.0 / np.bincount(y, minlength=k + 1)
@@ -163,10 +162,13 @@ def grade(docs: DataFrame, model: Model, at_least: int, threshold: float = 0.5)
     return rows.mapInArrow(partial(_graded, model=model, at_least=at_least, threshold=threshold), f"doc_id long, {GRADED}")
 
 
-def quality(docs: DataFrame, labels: DataFrame, column: str = "quality", at_least: int = 1, threshold: float = 0.5, folds: int = 5, held: int = 0) -> DataFrame:
-    """Fit on labelled rows whose ``crc32(doc_id) mod folds`` isn't ``held`` (at most ``SAMPLE_DOCS`` of each grade) and grade
-    every row: ``(doc_id, held_out, expected_grade, tail_probability, selected)``.  A null ``doc_id`` isn't held out."""
+def quality(
+    docs: DataFrame, labels: DataFrame, column: str = "quality", at_least: int = 1, threshold: float = 0.5, folds: int = 5, held: int = 0, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES
+) -> DataFrame:
+    """Fit on a bounded sample of whole labelled documents of each grade (:func:`features.sample`) whose ``crc32(doc_id) mod
+    folds`` isn't ``held``, and grade every row: ``(doc_id, held_out, expected_grade, tail_probability, selected)``.  A null
+    ``doc_id`` isn't held out."""
     fold = crc32_of_id() % folds
-    rows = sample(docs, labels, column, fold != held, SAMPLE_DOCS, SAMPLE_CHARS)
+    rows = features.sample(docs, marks(labels, column, fold != held), sample_docs, sample_bytes)
     model = fit([r[2] for r in rows], [r[1] for r in rows])
     return grade(docs, model, at_least, threshold).select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "expected_grade", "tail_probability", "selected")

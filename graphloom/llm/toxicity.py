@@ -13,6 +13,7 @@ step for each word.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -27,9 +28,8 @@ from graphloom.llm.features import crc32_of_id
 
 BITS = 19
 PREFIXES = (4, 5, 6)
-#: Bounds of the training sample: documents of each label, and characters of each document.
-SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 8_000
+#: Bounds of the training sample for each label, parameters of :func:`toxicity`: whole documents, and bytes of them together.
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 8 << 20
 #: A feature marks toxic words if it is in at least so many toxic documents, so many times more often than in clean
 #: ones, and its log-likelihood ratio is at least so large.
 SUPPORT, RATIO, EVIDENCE = 3, 15.0, 16.0
@@ -63,6 +63,15 @@ def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, block: int
     return out.T.reshape(-1)[:n]
 
 
+def _parts(first: np.ndarray) -> list[int]:
+    """Where words are cut into parts of about ``PART_WORDS``, at the borders of rows, whose first words are marked."""
+    n = len(first)
+    if n <= 2 * PART_WORDS:
+        return [0, n]
+    rows = np.flatnonzero(first)
+    return np.unique(np.append(rows[np.searchsorted(rows, np.arange(PART_WORDS, n - PART_WORDS, PART_WORDS), side="right") - 1], [0, n])).tolist()
+
+
 @dataclass
 class Field:
     """Weights of the hashed features, potentials of tag pairs ``move[from, to]`` and of the first tag, the curve."""
@@ -78,12 +87,9 @@ class Field:
         n = len(score)
         if not n:
             return score, score, score
-        if n > 2 * PART_WORDS:  # in parts at row borders, for the sake of memory
-            rows = np.flatnonzero(first)
-            cuts = np.unique(np.append(rows[np.searchsorted(rows, np.arange(PART_WORDS, n - PART_WORDS, PART_WORDS), side="right") - 1], [0, n]))
-            if len(cuts) > 2:
-                parts = [self.marginals(score[a:b], first[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+        if len(cuts := _parts(first)) > 2:
+            parts = [self.marginals(score[a:b], first[a:b]) for a, b in itertools.pairwise(cuts)]
+            return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
         w = np.exp(np.clip(score, -LIMIT, LIMIT))
         (oo, ot), (to, tt) = np.exp(self.move)
         zero, one = np.zeros(n), np.ones(n)
@@ -127,7 +133,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     field = Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), -3.0)
     label = np.asarray(toxic, int)
     parts = []
-    for row0, raw, offsets in features.slices(pa.array([(t or "")[:SAMPLE_CHARS] for t in texts], pa.string()), lower=True):
+    for row0, raw, offsets in features.slices(pa.array([t or "" for t in texts], pa.string()), lower=True):
         _, _, row, index = indices(raw, offsets)
         parts.append(((row + row0).astype(np.int32), index))
     if not parts or not 0 < label.sum() < len(label):
@@ -157,24 +163,30 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     squares = np.full(1 << BITS, 1e-6)
     moved = np.full(5, 1e-6)
     field.weight[:] = -1.0
-    same = ~first[1:]
+    cuts = _parts(first)
     for _ in range(steps):
-        p, ahead, back = field.marginals(field.weight[index].sum(axis=1), first)
-        g = sum(np.bincount(index[:, k], p - y, 1 << BITS) for k in range(index.shape[1])) + 0.02 * field.weight
+        g, g5 = 0.02 * field.weight.astype(float), np.zeros(5)
+        for a, b in itertools.pairwise(cuts):  # whole rows, for the sake of memory
+            some, real, begin = index[a:b], y[a:b], first[a:b]
+            score = field.weight[some].sum(axis=1)
+            p, ahead, back = field.marginals(score, begin)
+            for k in range(some.shape[1]):
+                g += np.bincount(some[:, k], p - real, 1 << BITS)
+            w = np.exp(np.clip(score, -LIMIT, LIMIT))[1:]
+            (oo, ot), (to, tt) = np.exp(field.move)
+            cells = np.stack([oo * np.ones(len(w)), ot * w * back[1:], to * ahead[:-1], tt * ahead[:-1] * w * back[1:]])
+            cells /= cells.sum(axis=0)
+            was, now, same = real[:-1], real[1:], ~begin[1:]
+            observed = ((1 - was) * (1 - now), (1 - was) * now, was * (1 - now), was * now)
+            g5 += [((c - o) * same).sum() for c, o in zip(cells, observed, strict=True)] + [((p - real) * begin).sum()]
         squares += g * g
         field.weight -= (1.0 * g / np.sqrt(squares)).astype(np.float32)
-        w = np.exp(np.clip(field.weight[index].sum(axis=1), -LIMIT, LIMIT))[1:]
-        (oo, ot), (to, tt) = np.exp(field.move)
-        cells = np.stack([oo * np.ones(len(w)), ot * w * back[1:], to * ahead[:-1], tt * ahead[:-1] * w * back[1:]])
-        cells /= cells.sum(axis=0)
-        observed = [((1 - y[:-1]) * (1 - y[1:])), (1 - y[:-1]) * y[1:], y[:-1] * (1 - y[1:]), y[:-1] * y[1:]]
-        g5 = np.array([((c - o) * same).sum() for c, o in zip(cells, observed, strict=True)] + [((p - y) * first).sum()])
         moved += g5 * g5
         change = 0.3 * g5 / np.sqrt(moved)
         field.move -= change[:4].reshape(2, 2)
         field.start -= change[4]
         field.move -= field.move[0, 0]
-    p, *_ = field.marginals(field.weight[index].sum(axis=1), first)
+    p = np.concatenate([field.marginals(field.weight[index[a:b]].sum(axis=1), first[a:b])[0] for a, b in itertools.pairwise(cuts)])
     top = _largest(p, row, len(texts))
     x, a, b = _logit(top), 1.0, 0.0
     marked = np.bincount(row, y, len(texts)) > 0
@@ -212,10 +224,11 @@ def _scored(batches: Iterator[pa.RecordBatch], field: Field, keys: int, spans: b
             p, *_ = field.marginals(field.weight[index].sum(axis=1), first)
             rows = len(offsets) - 1
             score[row0 : row0 + rows] = _largest(p, row, rows)
-            for i in np.flatnonzero(p >= 0.5) if spans else ():
-                r = int(row[i])
-                start = len(raw[offsets[r] : starts[i]].tobytes().decode("utf-8", "replace"))
-                found[row0 + r].append((start, len(raw[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")), float(p[i])))
+            if spans and len(hits := np.flatnonzero(p >= 0.5)):
+                begun = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters that begin before each byte
+                at, stop, origin = begun[starts[hits]], begun[ends[hits]], begun[offsets[row[hits]]]
+                for r, start, n, m in zip(row[hits].tolist(), (at - origin).tolist(), (stop - at).tolist(), p[hits].tolist(), strict=True):
+                    found[row0 + r].append((start, n, m))
         score = 1 / (1 + np.exp(-(field.slope * _logit(score) + field.shift)))
         names = [batch.schema.names[i] for i in range(keys)]
         merged = pa.array([[{"start": s, "length": n, "marginal": m} for s, n, m in f] for f in found], kind)
@@ -230,26 +243,20 @@ def score(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
     return rows.mapInArrow(partial(_scored, field=field, keys=1, spans=spans), f"doc_id long, {SCORED}")
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, training, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list:
-    """At most ``most`` labelled documents of each label, those whose ids hash lowest, as ``(label, text)`` rows;
-    ``training`` is the condition on ``doc_id``."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(training).where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
-    kinds = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}  # as many rows as labels
-    if not kinds:
-        return []
-    chosen = features.lowest(marks, "label", kinds, most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, chars).alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))  # at most 64 * `most` ids
-    return sorted(((r["doc_id"], r["label"], r["text"]) for r in got.collect()), key=lambda r: r[0])
+def marks(labels: DataFrame, column: str, training) -> DataFrame:
+    """``(doc_id, label)`` of the labelled documents for which ``training``, a condition on ``doc_id``, holds; of several
+    labels of a document the largest."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(training)
+    return rows.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``(doc_id, held_out, score, predicted, spans)`` for every row of ``docs``.
 
-    Only labelled rows whose ``crc32(doc_id) mod folds`` isn't ``held`` are learned from; at most ``SAMPLE_DOCS`` of each
-    label.  A null ``doc_id`` counts as not held out.
+    Only labelled rows whose ``crc32(doc_id) mod folds`` isn't ``held`` are learned from, a bounded sample of whole documents
+    of each label (:func:`features.sample`).  A null ``doc_id`` counts as not held out.
     """
     fold = crc32_of_id() % folds
-    rows = sample(docs, labels, "toxic", fold != held)
+    rows = features.sample(docs, marks(labels, "toxic", fold != held), sample_docs, sample_bytes)
     field = fit([r[2] for r in rows], [r[1] for r in rows])
     return score(docs, field).select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
