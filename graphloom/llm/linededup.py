@@ -98,9 +98,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
         return pairs.where((F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n") - 1e-9) & (can >= least) & (apart / 2 >= least)).select("x_sid", "y_sid").distinct()
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The later lines of the pairs whose whole sets, made again from the lines that came first, are similar."""
-        pairs = keep(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("x_sid", "y_sid")).alias("sid")).distinct().join(first, "sid").select("sid", "o.dk", "o.line")
+        """The later lines of the kept pairs whose whole sets, made again from the lines that came first, are similar."""
+        wanted = pairs.select(F.col("x_sid").alias("sid")).union(pairs.select("y_sid")).distinct().join(first, "sid").select("sid", "o.dk", "o.line")
         whole = keep(words.join(wanted, ["dk", "line"]).select("sid", "w").dropDuplicates(["sid"]), "whole")
         free(spark)
         both = pairs.join(whole.select(F.col("sid").alias("x_sid"), F.col("w").alias("xw")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("w").alias("yw")), "y_sid")
@@ -108,23 +107,25 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
         common = F.size(F.array_intersect("xw", "yw"))
         shared_by = both.select("x_sid", common.alias("c"), (F.size("xw") + F.size("yw")).alias("n"))
         out = keep(shared_by.where(F.col("c") >= t * (F.col("n") - F.col("c")) - 1e-9).select(F.col("x_sid").alias("sid")).distinct(), "similar")
-        drop(pairs, whole)
+        drop(whole)
         free(spark)
         return out
 
     lead = keep(placed.groupBy("tok").agg(F.min(F.struct("o", "sid", "n", "m", "at")).alias("y")), "lead")
     led = x.join(lead, "tok").where(F.col("x_sid") != F.col("y.sid")).select("x_sid", "x_n", "x_m", "x_at", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "n", "m", "at")))
-    early = similar(near(led))
+    with_lead = keep(near(led), "pairs")
+    early = similar(with_lead)
     left = x.join(early, x["x_sid"] == early["sid"], "left_anti")
     y = placed.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "m", "at", "o")))
-    late = similar(near(left.join(y, "tok").where("y_o < x_o")))
+    with_all = keep(near(left.join(y, "tok").where("y_o < x_o")).join(with_lead, ["x_sid", "y_sid"], "left_anti"), "pairs")
+    late = similar(with_all)
 
     # Every line of a set that resembles an earlier one goes; of the others all but the first line.
     gone = early.union(late).distinct()
     repeated = first.where("lines > 1").select("sid", F.struct("o.dk", "o.line").alias("keep"))
     fate = repeated.join(gone.withColumn("all", F.lit(True)), "sid", "full").select("sid", "keep", F.coalesce("all", F.lit(False)).alias("all"))
     out = keep(sets.select("sid", "dk", "line").join(fate, "sid").where(F.col("all") | (F.struct("dk", "line") != F.col("keep"))).select("dk", "line"), "removed-lines")
-    drop(words, levels, placed, lead, early, late, first, sets)
+    drop(words, levels, placed, lead, with_lead, with_all, early, late, first, sets)
     free(spark)
     return out
 
