@@ -3,6 +3,8 @@ orders clauses, their lines expressions, and suppliers of consecutive lines of a
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,12 @@ class Star:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self._read: dict[str, DataFrame] = {}
 
     def t(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._read[name]
 
     def calls(self, q: int) -> DataFrame:
         line = self.t("lineitem").where(F.col("l_quantity") >= q).select("l_orderkey", "l_linenumber", "l_suppkey")
@@ -52,8 +57,9 @@ class Star:
     def call_metrics(self, q: int) -> Metrics:
         return Metrics(Code(self.modules(), self.suppliers(), self.calls(q), application=self.applications(q)))
 
-    def tree_metrics(self) -> Metrics:
-        """Customers as functions, orders as clauses, lines as expressions."""
+    def tree_metrics(self, kinds: dict[str, str] | None = None) -> Metrics:
+        """Customers as functions, orders as clauses, lines as expressions; ``kinds`` renames kinds of expressions.  A returned
+        line applies its own function, one that was accepted the function of the neighbouring customer."""
         e = self.t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), (F.min("l_quantity").cast("int") % 3 + 1).alias("branches"))
         e = e.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("expr_id"), "l_orderkey", F.col("l_linenumber").alias("ord"), F.expr("CASE f WHEN 'R' THEN 'case_expr' WHEN 'A' THEN 'if_expr' ELSE 'application' END").alias("kind"), "branches")
         above = e.select(F.col("expr_id").alias("parent_id"), "l_orderkey", (F.col("ord") + 3).alias("ord"))
@@ -63,8 +69,12 @@ class Star:
         sub = e.where("kind <> 'application'").select("expr_id", "kind", F.explode(F.sequence(F.lit(1), "branches")).alias("k"))
         sub = sub.select((F.lit(10**12) + F.col("expr_id") * 10 + F.col("k")).alias("clause_id"), F.col("expr_id").alias("owner_id"), F.lit("expr").alias("owner_kind"), F.col("k").cast("long").alias("ord"), F.when((F.col("kind") == "case_expr") & (F.col("k") == 1), "head").otherwise("plain").alias("kind"))
         func = self.t("customer").select(F.col("c_custkey").alias("fun_id"), F.col("c_nationkey").alias("mod_id"), F.col("c_name").alias("name"), F.lit(0).alias("arity"), F.lit(True).alias("exported"))
-        none = self.spark.createDataFrame([], "caller long, callee long")
-        return Metrics(Code(self.modules(), func, none, expr=expr, clause=own.unionByName(sub)))
+        beside = F.when(F.col("caller") % 2 == 1, F.col("caller") + 1).otherwise(F.col("caller") - 1)
+        apps = e.where("kind <> 'application'").join(self.t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("caller")), "l_orderkey")
+        apps = apps.select("expr_id", "caller", F.when(F.col("kind") == "case_expr", F.col("caller")).otherwise(beside).alias("callee"))
+        for kind, name in (kinds or {}).items():
+            expr = expr.withColumn("kind", F.when(F.col("kind") == kind, name).otherwise(F.col("kind")))
+        return Metrics(Code(self.modules(), func, apps.select("caller", "callee").distinct(), expr=expr, clause=own.unionByName(sub), application=apps))
 
     def text_metrics(self) -> Metrics:
         """Documents as files, modules and functions at once."""
@@ -102,9 +112,9 @@ class Star:
         c.selector("customer", "orders", "order", self.t("orders"), "o_custkey", "o_orderkey")
         c.selector("order", "customer", "customer", self.t("orders"), "o_orderkey", "o_custkey")
         for q in (45, 48):
-            c.selector("supplier", (f"calls{q}",), "supplier", self.calls(q), "caller", "callee")
-            c.selector("supplier", (f"called{q}",), "supplier", self.calls(q), "callee", "caller")
-        c.selector("supplier", "refs", "supplier", self.calls(45), "callee", "caller")
+            c.selector("supplier", (f"calls{q}",), "supplier", partial(self.calls, q), "caller", "callee")
+            c.selector("supplier", (f"called{q}",), "supplier", partial(self.calls, q), "callee", "caller")
+        c.selector("supplier", "refs", "supplier", partial(self.calls, 45), "callee", "caller")
         c.start("@fun", "supplier", self.t("supplier").where("s_suppkey = 3").select(F.col("s_suppkey").alias("node")))
         c.start("@def", "supplier", self.t("supplier").where("s_suppkey = 3").select(F.col("s_suppkey").alias("node")))
         s.metrics["calls_from"] = lambda: self.call_metrics(45).calls_from_function()

@@ -13,6 +13,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.operators import graph
 
 ANY = "any"
 Type = tuple[str, object]
@@ -198,7 +201,9 @@ def show(t: Type) -> str:
     if kind == "tuple" and value != ANY:
         return "{" + ", ".join(map(show, value)) + "}"
     if kind == "list" and value != ANY:
-        return f"[{show(value[0])}]"
+        return f"[{show(value[0])}]" if value else "[]"
+    if isinstance(value, tuple):
+        return f"{kind}({', '.join(map(show, value))})"
     return f"{kind}()" if value == ANY else f'"{value}"' if kind == "string" else str(value)
 
 
@@ -217,6 +222,50 @@ def infer(functions: DataFrame) -> DataFrame:
     return functions.select("module", "name", "arity", "tree").groupBy("module").applyInPandas(run, "module string, name string, arity int, signature string")
 
 
+def written(node, below: dict, rows: dict) -> Type:
+    """The type that a written type expression stands for: ``rows`` has ``(type, tag)`` of each node, ``below`` its children."""
+    kind, tag = rows[node]
+    parts = below.get(node, [])
+    if kind == "call":  # a type's name and the list of its arguments
+        arguments = below.get(parts[1], []) if len(parts) > 1 else []
+        return (rows[parts[0]][1], tuple(written(x, below, rows) for x in arguments) if arguments else ANY)
+    if kind == "atom":
+        return "atom", tag
+    if kind in ("tuple", "list", "union"):
+        return kind, tuple(written(x, below, rows) for x in parts)
+    if kind in ("vardef", "paren"):  # a named type is its type, one in brackets is itself
+        return written(parts[-1], below, rows)
+    return TOP if kind == "joker" else whole("not_implemented_yet")
+
+
+def specs(forms: DataFrame, typexp: DataFrame) -> DataFrame:
+    """``(module, name, arity, signature, warning)`` of written specifications.
+
+    ``forms (form_id, module, head_id, sig_id)`` name the type expressions of a specification's function (an atom, or a
+    module and a name) and of its signature (an argument list and a result); ``typexp (id, parent_id, ord, type, tag)`` has
+    them all.  A head that names another module is kept with a warning.  Each specification is put together apart.
+    """
+    tops = forms.select("form_id", "module", "head_id", "sig_id", F.explode(F.array("head_id", "sig_id")).alias("root"))
+    under = graph.roots(typexp.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")))
+    nodes = under.select("root", F.col("node").alias("id")).union(tops.select("root", F.col("root").alias("id")))
+    rows = nodes.join(tops, "root").join(typexp.select("id", "parent_id", "ord", "type", "tag"), "id")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = {r.id: (r.type, r.tag) for r in pdf.itertuples()}
+        below: dict = {}
+        for r in pdf.sort_values(["ord", "id"]).itertuples():
+            if pd.notna(r.parent_id):
+                below.setdefault(int(r.parent_id), []).append(r.id)
+        module, head, sig = pdf.module.iloc[0], int(pdf.head_id.iloc[0]), int(pdf.sig_id.iloc[0])
+        stated, name = (known[x][1] for x in below[head]) if known[head][0] == "module_qualifier" else (None, known[head][1])
+        arguments, result = below[sig]
+        types = tuple(written(x, below, known) for x in below.get(arguments, []))
+        warning = f"the specification names module {stated}" if stated not in (None, module) else None
+        return pd.DataFrame([(module, name, len(types), pretty(name, len(types), [(types, written(result, below, known))]), warning)], columns=["module", "name", "arity", "signature", "warning"])
+
+    return rows.groupBy("form_id").applyInPandas(build, "module string, name string, arity int, signature string, warning string")
+
+
 def operator_table() -> Iterator[tuple[str, str, str, str, str]]:
     """``(form, operator, left, right, result)`` of all known operators."""
     for op, (a, b, r) in INFIX.items():

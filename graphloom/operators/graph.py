@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.sources.shared import keep
 
 Step = Callable[[DataFrame], DataFrame]
+LAZY_STEPS = 4
 
 
 def step_over(edges: DataFrame) -> Step:
@@ -36,7 +37,14 @@ def iterate(starts: DataFrame, step: Step, n: int) -> DataFrame:
 
 def closure(starts: DataFrame, step: Step, most: int | None = None, max_rounds: int = 10_000) -> DataFrame:
     """``(origin, node)`` reachable in one step or more, in at most ``most`` steps if given.  The origin itself is a result
-    only if it is reached again."""
+    only if it is reached again.  A few steps are one lazy plan, whose rounds share their exchanges; only more are written."""
+    if most is not None and most <= LAZY_STEPS:
+        now = starts.select("origin", "node").distinct()
+        found = None
+        for _ in range(most):
+            now = step(now).distinct()
+            found = now if found is None else found.union(now)
+        return now if found is None else found.distinct()
     frontier = keep(step(starts.select("origin", "node").distinct()).distinct(), "frontier")
     seen = frontier
     for n in range(2, (most or max_rounds) + 1):
@@ -90,17 +98,37 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         every = every.union(nodes.select("node"))
     labels = keep(every.distinct().select("node", F.col("node").alias("component")), "labels")
     for _ in range(max_rounds):
-        told = both.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "component")
-        least = labels.union(told).groupBy("node").agg(F.min("component").alias("component"))
+        none = F.lit(None).cast(labels.schema["node"].dataType)
+        told = both.join(labels.select(F.col("node").alias("src"), "component"), "src").select(F.col("dst").alias("node"), "component", none.alias("was"))
+        # One row a node, used twice below: the two uses share the exchange, and a round is written once.
+        least = labels.select("node", "component", F.col("component").alias("was")).union(told).groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"))
         jump = least.select(F.col("node").alias("component"), F.col("component").alias("_next"))
-        after = keep(keep(least, "least").join(jump, "component").select("node", F.col("_next").alias("component")), "labels")
-        changed = after.join(labels.withColumnRenamed("component", "_was"), "node").where("component <> _was")
-        if changed.isEmpty():
-            return after
-        labels = after
+        labels = keep(least.join(jump, "component").select("node", F.col("_next").alias("component"), "was"), "labels")
+        if labels.where("component <> was").isEmpty():
+            return labels.select("node", "component")
     raise RuntimeError("components did not settle")
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """``(node, root)`` of every child in a forest ``parents (src, dst)``, from a node to those below it.  Each round doubles
+    how far a node looks up, so rounds grow with the logarithm of the depth, and there is one row for each node."""
+    now = keep(parents.select(F.col("dst").alias("node"), F.col("src").alias("root")), "roots")
+    while True:
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+        now = keep(now.select("node", "root").join(above, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")), "roots")
+        if now.where("moved").isEmpty():
+            return now.select("node", "root")
+
+
+def cyclic_part(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Edges without those at vertices that lie on no way between cycles: vertices without an edge in or out are taken
+    away, and again what that leaves without, in some rounds.  Cycles stay as they are."""
+    for _ in range(rounds):
+        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+    return keep(edges.distinct(), "cyclic")
+
+
 def on_cycles(closed: DataFrame) -> DataFrame:
     """``(node)`` that reach themselves, from the pairs of :func:`reach`."""
     return closed.where("src = dst").select(F.col("src").alias("node")).distinct()
@@ -126,8 +154,8 @@ def greedy_cycles(edges: DataFrame, max_nodes: int = 100_000) -> list[list]:
 
     Only strongly connected vertices matter; their edges are brought to the driver, at most ``max_nodes`` of vertices.
     """
-    closed = keep(reach(edges), "closure")
-    inside = induced(edges.select("src", "dst").distinct(), on_cycles(closed))
+    part = cyclic_part(edges)
+    inside = induced(part, on_cycles(reach(part)))
     if inside.select("src").distinct().limit(max_nodes + 1).count() > max_nodes:
         raise RuntimeError(f"over {max_nodes} vertices are on cycles")
     ahead: dict = {}

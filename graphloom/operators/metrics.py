@@ -188,8 +188,9 @@ class Metrics:
         """``(top, expr_id)``: all expressions at or below each top-level expression of a function."""
 
         def make() -> DataFrame:
-            tops = self._top_expressions().select(F.col("expr_id").alias("origin"), F.col("expr_id").alias("node"))
-            return graph.closure(tops, graph.step_over(self._parents())).union(tops).distinct().select(F.col("origin").alias("top"), F.col("node").alias("expr_id"))
+            tops = self._top_expressions().select(F.col("expr_id").alias("top"))
+            below = graph.roots(self._parents()).select(F.col("root").alias("top"), F.col("node").alias("expr_id"))
+            return below.join(tops, "top", "left_semi").union(tops.select("top", F.col("top").alias("expr_id")))
 
         return self._once("within", make)
 

@@ -48,8 +48,9 @@ class Catalog:
             self.starts[start] = (name, out.nodes)
         return out
 
-    def selector(self, source: str, names: str | tuple[str, ...], target: str, pairs: DataFrame, src: str, dst: str) -> None:
-        found = lambda: pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    def selector(self, source: str, names: str | tuple[str, ...], target: str, pairs: DataFrame | Callable[[], DataFrame], src: str, dst: str) -> None:
+        """``pairs`` may be made when a query first asks for them."""
+        found = lambda: (pairs() if callable(pairs) else pairs).select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
         for name in (names,) if isinstance(names, str) else names:
             self.selectors[source, name] = (target, found)
 

@@ -115,7 +115,14 @@ query("n12_mod_locals", "SELECT s_nationkey AS mod_id, s_suppkey AS fun_id FROM
 query("n13_mod_local", "SELECT s_suppkey AS fun_id FROM supplier WHERE s_nationkey < 9 AND s_suppkey % 4 = 1")(lambda s: s.suppliers().where("mod_id < 9 AND arity = 1").select("fun_id"))
 query("n14_mod_file_name", "SELECT n_name AS name, '/' || r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s: s.modules().select("name", "path"))
 query("n15_mod_exports", "SELECT s_suppkey AS fun_id FROM supplier WHERE s_acctbal > 0")(lambda s: s.suppliers().where("exported").select("fun_id"))
-query("n16_file_children", "SELECT o_custkey AS file_id, count(*) AS forms, min(o_orderkey) AS first FROM orders GROUP BY 1")(lambda s: s.t("orders").groupBy(F.col("o_custkey").alias("file_id")).agg(F.count(F.lit(1)).alias("forms"), F.min("o_orderkey").alias("first")))
+def children(s: Star) -> DataFrame:
+    """Files' forms, by navigation: customers hold their orders."""
+    edges = s.t("orders").select(F.col("o_custkey").alias("src"), F.lit("form").alias("tag"), F.col("o_orderkey").alias("dst"), F.lit(0).alias("ord"))
+    found = navigation.run(navigation.starts(s.t("customer"), "c_custkey"), navigation.edge(edges, "form"))
+    return found.groupBy(F.col("origin").alias("file_id")).agg(F.count("node").alias("forms"), F.min("node").alias("first"))
+
+
+query("n16_file_children", "SELECT o_custkey AS file_id, count(*) AS forms, min(o_orderkey) AS first FROM orders GROUP BY 1")(children)
 query("n17_form_clauses", "SELECT o_orderkey AS form_id, o_custkey AS fun_id FROM orders")(lambda s: s.tree_metrics().code.clause.where("owner_kind = 'function'").select(F.col("clause_id").alias("form_id"), F.col("owner_id").alias("fun_id")))
 query("n18_clause_exprs", f"WITH e AS ({EXPR}) SELECT x.o AS clause_id, x.expr_id FROM e x LEFT JOIN e y ON x.o = y.o AND y.n = x.n - 3 WHERE y.expr_id IS NULL")(lambda s: s.tree_metrics().code.expr.where("parent_id IS NULL").select("clause_id", "expr_id"))
 query("n19_expr_children", f"WITH e AS ({EXPR}) SELECT y.expr_id AS parent_id, x.expr_id FROM e x JOIN e y ON x.o = y.o AND y.n = x.n - 3")(lambda s: s.tree_metrics().code.expr.where("parent_id IS NOT NULL").select("parent_id", "expr_id"))
@@ -129,7 +136,16 @@ query("n26_fun_module", "SELECT s_suppkey AS fun_id, n_name AS name FROM supplie
 query("n27_funcalls", C45)(lambda s: s.calls(45))
 query("n28_called", f"SELECT callee AS fun_id, caller FROM ({C45})")(lambda s: s.calls(45).select(F.col("callee").alias("fun_id"), "caller"))
 query("n29_applications", "SELECT a.l_suppkey AS caller, b.l_suppkey AS callee, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 48 AND b.l_quantity >= 48 GROUP BY 1, 2")(lambda s: s.applications(48).groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("n")))
-query("n30_variable_bindings", "SELECT user_id AS var_id, min(event_id) AS binding, count(*) - 1 AS refs FROM events GROUP BY 1")(lambda s: s.t("events").groupBy(F.col("user_id").alias("var_id")).agg(F.min("event_id").alias("binding"), (F.count(F.lit(1)) - 1).alias("refs")))
+def occurrences(s: Star) -> DataFrame:
+    """Variables' bindings and references, by navigation: users' sign-ups and other events."""
+    e = s.t("events").select(F.col("user_id").alias("src"), F.when(F.col("event_type") == "signup", "binding").otherwise("reference").alias("tag"), F.col("event_id").alias("dst"), F.lit(0).alias("ord"))
+    users = navigation.starts(s.t("events"), "user_id")
+    count = lambda tag: navigation.run(users, navigation.edge(e, tag)).groupBy("origin").agg(F.count("node").alias(tag))
+    found = users.select("origin").join(count("binding"), "origin", "left").join(count("reference"), "origin", "left")
+    return found.select(F.col("origin").alias("var_id"), F.coalesce("binding", F.lit(0)).alias("bindings"), F.coalesce("reference", F.lit(0)).alias("refs"))
+
+
+query("n30_variable_bindings", "SELECT user_id AS var_id, count(*) FILTER (WHERE event_type = 'signup') AS bindings, count(*) FILTER (WHERE event_type <> 'signup') AS refs FROM events GROUP BY 1")(occurrences)
 query("n31_tree_text", "SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations GROUP BY 1")(lambda s: navigation.text_of(s.t("conversations").select("conv_id", F.col("turn").alias("start"), "text"), "conv_id"))
 query("n32_class", "SELECT 'region' AS class, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier")(lambda s: generic(s)[0].groupBy("class").agg(F.count(F.lit(1)).alias("n")))
 query("n33_walk_graph", "SELECT 0 AS node UNION ALL SELECT n_nationkey + 100 FROM nation WHERE n_regionkey = 0 UNION ALL SELECT s_suppkey + 1000 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0")(lambda s: navigation.walk(generic(s)[1], ("nation", "supplier"), s.spark.range(1).select(F.col("id").alias("node")))[0])
@@ -181,11 +197,18 @@ metric("m14_max_application_depth", lambda s: s.tree_metrics().max_application_d
 metric("m17_max_depth_of_cases", lambda s: s.tree_metrics().max_depth_of_cases("function"), f"{TREE} {PER_CUSTOMER.format("SELECT c, max((kind = 'case_expr')::INT + coalesce((k1 = 'case_expr')::INT, 0) + coalesce((k2 = 'case_expr')::INT, 0)) AS value FROM t GROUP BY 1")}")
 metric("m18_number_of_funclauses", lambda s: s.tree_metrics().number_of_funclauses("function"), "SELECT c_custkey AS node, count(o_orderkey) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 metric("m20_mccabe", lambda s: s.tree_metrics().mccabe("function"), f"{TREE}, b AS (SELECT c, sum(CASE kind WHEN 'if_expr' THEN branches - 1 WHEN 'case_expr' THEN branches - 2 ELSE 0 END) AS v FROM t GROUP BY 1), k AS (SELECT o_custkey AS c, count(*) AS v FROM orders GROUP BY 1) SELECT c_custkey AS node, CAST(coalesce(k.v, 0) + coalesce(b.v, 0) AS BIGINT) AS value FROM customer LEFT JOIN k ON k.c = c_custkey LEFT JOIN b ON b.c = c_custkey")
-metric("m23_number_of_funexpr", lambda s: s.tree_metrics()._nested("application", "function"), f"{TREE} {PER_CUSTOMER.format("SELECT c, count(*) AS value FROM t WHERE kind = 'application' GROUP BY 1")}")
-metric("m24_number_of_messpass", lambda s: s.tree_metrics()._nested("if_expr", "module"), f"{TREE} {per_nation("SELECT c_nationkey AS node, count(*) AS value FROM t JOIN customer ON c = c_custkey WHERE kind = 'if_expr' GROUP BY 1")}")
+metric("m23_number_of_funexpr", lambda s: s.tree_metrics({"application": "fun_expr"}).number_of_funexpr("function"), f"{TREE} {PER_CUSTOMER.format("SELECT c, count(*) AS value FROM t WHERE kind = 'application' GROUP BY 1")}")
+metric("m24_number_of_messpass", lambda s: s.tree_metrics({"if_expr": "send_expr"}).number_of_messpass("module"), f"{TREE} {per_nation("SELECT c_nationkey AS node, count(*) AS value FROM t JOIN customer ON c = c_custkey WHERE kind = 'if_expr' GROUP BY 1")}")
 metric("m25_fun_return_points", lambda s: s.tree_metrics().fun_return_points("function"), f"{TREE}, l AS (SELECT o, any_value(c) AS c, arg_max(kind, n) AS kind FROM t WHERE top GROUP BY 1) {PER_CUSTOMER.format("SELECT c, count(*) FILTER (WHERE kind = 'application') AS value FROM l GROUP BY 1")}")
 metric("m31_module_sum", lambda s: s.call_metrics(48).module_sum(parts=("number_of_fun", "number_of_funpath", "function_calls_in", "function_calls_out", "cohesion", "otp_used", "average_size")), per_nation(f"SELECT m AS node, count(*) AS value FROM (SELECT s_nationkey AS m FROM supplier UNION ALL (WITH g AS ({MOD_CALLS.replace(C45, C48)}) SELECT unnest([m1, m1]) FROM g UNION ALL SELECT unnest([m2, m2]) FROM g WHERE m1 <> m2)) GROUP BY 1"))
-query("m30_is_tail_recursive", f"{REACH45} SELECT s_suppkey AS node, EXISTS (SELECT 1 FROM r WHERE a = s_suppkey AND b = s_suppkey) AS recursive FROM supplier")(lambda s: s.suppliers().select(F.col("fun_id").alias("node")).join(graph.on_cycles(graph.reach(s.edges(45))).withColumn("r", F.lit(True)), "node", "left").select("node", F.coalesce("r", F.lit(False)).alias("recursive")))
+TAIL = """, x AS (
+  SELECT c, o, n, kind, CASE WHEN k1 IS NULL THEN n WHEN k2 IS NULL THEN n - 3 ELSE n - 6 END AS root,
+    kind = 'case_expr' OR (kind = 'if_expr' AND CASE WHEN c % 2 = 1 THEN c + 1 ELSE c - 1 END IN (SELECT c FROM t WHERE kind = 'if_expr')) AS loops FROM t
+), tops AS (SELECT c, o, root, bool_or(loops) AS loops, bool_or(loops AND n = root) AS direct FROM x GROUP BY 1, 2, 3),
+ends AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY o DESC, root DESC) = 1 AS final FROM tops),
+v AS (SELECT c, CASE WHEN bool_or(loops AND NOT (final AND direct)) THEN 0 WHEN bool_or(final AND direct) THEN 1 ELSE -1 END AS value FROM ends GROUP BY 1)
+SELECT c_custkey AS node, CAST(coalesce(value, -1) AS BIGINT) AS value FROM customer LEFT JOIN v ON v.c = c_custkey"""
+metric("m30_is_tail_recursive", lambda s: s.tree_metrics().is_tail_recursive("function"), TREE + TAIL)
 
 
 # -- the metric language and its aggregations ------------------------------------------------------------------
@@ -252,8 +275,8 @@ def block_edges(s: Star, q: int = 45, chosen: list[str] | None = None) -> DataFr
 BLOCK_EDGES = f"SELECT DISTINCT '/' || x.r_name AS src, '/' || y.r_name AS dst FROM ({MOD_CALLS}) JOIN nation a ON a.n_nationkey = m1 JOIN region x ON x.r_regionkey = a.n_regionkey JOIN nation b ON b.n_nationkey = m2 JOIN region y ON y.r_regionkey = b.n_regionkey WHERE x.r_name <> y.r_name"
 query("d01_module_edges", NATION_EDGES)(nation_edges)
 query("d02_graph_vertices", f"SELECT src AS node FROM ({NATION_EDGES}) UNION SELECT dst FROM ({NATION_EDGES})")(lambda s: dependencies.vertices(nation_edges(s)))
-query("d03_cycle_vertices", f"{REACH45} SELECT DISTINCT a AS node FROM r WHERE a = b")(lambda s: graph.on_cycles(graph.reach(s.edges(45))))
-query("d03_strong_components", f"{REACH45} SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1")(lambda s: graph.strong_components(keep(graph.reach(s.edges(45)), "reach")))
+query("d03_cycle_vertices", f"{REACH45} SELECT DISTINCT a AS node FROM r WHERE a = b")(lambda s: graph.on_cycles(graph.reach(graph.cyclic_part(s.edges(45)))))
+query("d03_strong_components", f"{REACH45} SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1")(lambda s: graph.strong_components(keep(graph.reach(graph.cyclic_part(s.edges(45))), "reach")))
 query("d03_check_cycle")(lambda s: s.spark.createDataFrame([(i, j, int(n)) for i, c in enumerate(graph.greedy_cycles(s.edges(45))) for j, n in enumerate(c)], "cycle int, place int, node long"))
 query("d04_print_cycle")(lambda s: s.spark.createDataFrame([(i, " -> ".join(c)) for i, c in enumerate(dependencies.named_cycles(nation_edges(s), s.modules().select(F.col("mod_id").alias("node"), "name")))], "cycle int, names string"))
 query("d05_check_module", f"{REACH48} SELECT 1 AS node, EXISTS (SELECT 1 FROM r WHERE a = b AND (a = 1 OR a IN (SELECT b FROM r WHERE a = 1))) AS cyclic")(lambda s: s.spark.createDataFrame([(1, dependencies.check_module(s.edges(48), 1))], "node int, cyclic boolean"))
@@ -265,7 +288,18 @@ NEAR = "WITH RECURSIVE g AS ({}), u AS (SELECT caller AS a, callee AS b FROM g U
 query("d10_components", f"{NEAR} SELECT a AS node, min(b) AS component FROM (SELECT a, b FROM r UNION SELECT a, a FROM u) GROUP BY 1")(lambda s: graph.components(s.edges(48)))
 query("d10_relations", f"{NEAR}, c AS (SELECT a AS node, min(b) AS component FROM (SELECT a, b FROM r UNION SELECT a, a FROM u) GROUP BY 1) SELECT component, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM c GROUP BY 1 HAVING count(*) > 1")(lambda s: dependencies.relations(s.edges(48)).select("component", F.array_join(F.col("members").cast("array<string>"), ",").alias("members")))
 query("d11_is_relation", f"{NEAR}, c AS (SELECT a AS node, min(b) AS component FROM (SELECT a, b FROM r UNION SELECT a, a FROM u) GROUP BY 1), p AS (SELECT caller, callee FROM g ORDER BY 1, 2 LIMIT 1) SELECT (SELECT count(*) FROM c WHERE component = (SELECT component FROM c JOIN p ON node = caller)) = 2 AS related")(lambda s: (lambda e: (lambda r: s.spark.createDataFrame([(dependencies.is_relation(e, (r["src"], r["dst"])),)], "related boolean"))(e.orderBy("src", "dst").first()))(s.edges(48)))
-query("d12_block_cycles", f"WITH RECURSIVE g AS ({BLOCK_EDGES}), r(a, b) AS (SELECT src, dst FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON r.b = g.src) SELECT DISTINCT a AS node FROM r WHERE a = b")(lambda s: graph.on_cycles(graph.reach(block_edges(s))))
+def checked(s: Star, edges: DataFrame, cycles: list[list]) -> DataFrame:
+    """How many listed steps are no edges, and how many vertices the listed cycles have."""
+    kind = edges.schema["src"].dataType.simpleString()
+    steps = [(a, b) for c in cycles for a, b in zip(c, c[1:] or c, strict=False)]
+    listed = s.spark.createDataFrame(steps, f"src {kind}, dst {kind}")
+    broken = listed.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").agg(F.count(F.lit(1)).alias("broken"))
+    return broken.crossJoin(F.broadcast(listed.agg(F.count_distinct("src").alias("vertices"))))  # one row each
+
+
+query("d03_cycles_checked", f"{REACH45} SELECT 0 AS broken, count(DISTINCT a) AS vertices FROM r WHERE a = b")(lambda s: (lambda e: checked(s, e, dependencies.check_cycle(e) or []))(s.edges(45)))
+query("d04_cycles_checked", f"WITH RECURSIVE g AS ({NATION_EDGES}), r(a, b) AS (SELECT src, dst FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON r.b = g.src) SELECT 0 AS broken, count(DISTINCT a) AS vertices FROM r WHERE a = b")(lambda s: (lambda e, n: checked(s, dependencies.lifted(e, n, None), dependencies.named_cycles(nation_edges(s), s.modules().select(F.col("mod_id").alias("node"), "name"))))(nation_edges(s).toDF("caller", "callee"), s.modules().select(F.col("mod_id").alias("member"), F.col("name").alias("owner"))))
+query("d12_block_cycles", f"WITH RECURSIVE g AS ({BLOCK_EDGES}), r(a, b) AS (SELECT src, dst FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON r.b = g.src) SELECT 0 AS broken, count(DISTINCT a) AS vertices FROM r WHERE a = b")(lambda s: (lambda e: checked(s, e, dependencies.check_cycle(e) or []))(block_edges(s)))
 query("d13_block_chosen", f"SELECT * FROM ({BLOCK_EDGES}) WHERE src = (SELECT '/' || min(r_name) FROM region)")(lambda s: block_edges(s, chosen=["/" + s.t("region").agg(F.min("r_name")).first()[0]]))
 query("d14_numbered", f"SELECT node, row_number() OVER (ORDER BY node) AS seq FROM (SELECT src AS node FROM ({NATION_EDGES}) UNION SELECT dst FROM ({NATION_EDGES}))")(lambda s: dependencies.numbered(dependencies.vertices(nation_edges(s))))
 
@@ -353,7 +387,16 @@ def versions(s: Star) -> DataFrame:
     return v.table("nation").agg(F.count(F.lit(1)).alias("before")).withColumn("after", F.lit(last).cast("long"))
 
 
-query("io13_reset", "SELECT n_nationkey FROM nation WHERE false")(lambda s: s.t("nation").where("false").select("n_nationkey"))
+def emptied(s: Star) -> DataFrame:
+    v = dump.Versions(s.spark, new_path(s.spark, "versions"))
+    v.commit(nation=s.t("nation"))
+    v.reset()
+    left = len(v.numbers)
+    v.commit(nation=s.t("nation").where("n_nationkey < 5"))
+    return v.table("nation").agg(F.count(F.lit(1)).alias("after")).withColumn("left", F.lit(left))
+
+
+query("io13_reset", 'SELECT count(*) AS after, 0 AS "left" FROM nation WHERE n_nationkey < 5')(emptied)
 query("io14_undo", "SELECT count(*) AS before, count(*) FILTER (WHERE n_nationkey < 5) AS after FROM nation")(versions)
 query("io15_config", "SELECT * FROM (VALUES ('appbase', '/app'), ('include', ''), ('output', 'original')) v(key, value)")(lambda s: files.settings(s.spark, s.spark.createDataFrame([("appbase", "/old", 1), ("appbase", "/app", 2)], "key string, value string, seq long")))
 query("io16_history", "SELECT CAST(user_id AS VARCHAR) AS user, event_type AS query, max(ts) AS ts FROM events WHERE user_id = 7 GROUP BY 1, 2")(lambda s: files.history(s.t("events").select(F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("query"), "ts"), "7"))
@@ -412,7 +455,7 @@ def streamed(s: Star) -> DataFrame:
 
 
 query("e04_stream_upsert", LATEST)(streamed)
-query("e05_reload_broadcast", f"SELECT event, count(*) AS n FROM ({LOG}) GROUP BY 1")(lambda s: log(s).groupBy("event").agg(F.count(F.lit(1)).alias("n")))
+query("e05_reload_broadcast", f"SELECT seq, file, event, arg FROM ({LOG}) WHERE event IN ('dropped', 'purchase')")(lambda s: changelog.notices(log(s), ("dropped", "purchase")))
 
 # -- browsing --------------------------------------------------------------------------------------------------
 query("b01_children", "SELECT c_nationkey AS parent, 1 AS section_ord, 'customer' AS section, c_custkey AS ord, c_name AS child FROM customer UNION ALL SELECT s_nationkey, 0, 'supplier', s_suppkey, s_name FROM supplier")(
@@ -441,7 +484,67 @@ query("r18_reorder_funpar", f"WITH e AS ({EXPR}) SELECT expr_id, CASE n WHEN 1 T
 query("r20_rename_fun", "SELECT s_suppkey AS fun_id, CASE WHEN s_suppkey = 5 THEN 'renamed' ELSE s_name END AS name FROM supplier")(lambda s: transform.rename_fun(TABLES(s), 5, "renamed")["func"].select("fun_id", "name"))
 query("r23_rename_mod", "SELECT n_nationkey AS mod_id, CASE WHEN n_nationkey = 5 THEN 'renamed' ELSE n_name END AS name FROM nation")(lambda s: transform.rename_mod(TABLES(s), 5, "renamed")["module"].select("mod_id", "name"))
 query("r23_rename_mod_file", "SELECT n_nationkey AS file_id, '/' || r_name || '/' || CASE WHEN n_nationkey = 5 THEN 'renamed' ELSE n_name END AS path FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s: transform.rename_mod(TABLES(s), 5, "renamed")["file"].select("file_id", "path"))
+def tupled(s: Star) -> DataFrame:
+    """Orders as parameter lists, their lines as parameters: the first two of some become a tuple."""
+    e = s.t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.lit("expr").alias("kind")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("expr_id"), F.col("l_orderkey").alias("parent_id"), F.col("l_linenumber").alias("ord"), "kind")
+    return transform.tuple_funpar(TABLES(s) | {"expr": e}, 7, 1, 2, [3, 1, 2])["expr"]
+
+
 query("r13_tuple_funpar", "SELECT s_suppkey AS fun_id, CAST(s_suppkey % 4 - CASE WHEN s_suppkey = 7 THEN 1 ELSE 0 END AS INT) AS arity FROM supplier")(lambda s: transform.tuple_funpar(TABLES(s), 7, 1, 2)["func"].select("fun_id", "arity"))
-query("r05_eliminate_import", "SELECT o_orderkey AS form_id FROM orders WHERE o_orderkey <> 1")(lambda s: transform.eliminate_import({"form": s.t("orders").select(F.col("o_orderkey").alias("form_id"))}, 1)["form"])
+query("r13_tuple_arguments", "WITH e AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS expr_id, l_orderkey AS o, l_linenumber AS n FROM lineitem), m AS (SELECT max(expr_id) AS m FROM e) SELECT expr_id, CASE WHEN o BETWEEN 1 AND 3 AND n <= 2 THEN m + o ELSE o END AS parent_id, CASE WHEN o BETWEEN 1 AND 3 AND n > 2 THEN n - 1 ELSE n END AS ord, 'expr' AS kind FROM e, m UNION ALL SELECT m + p, p, 1, 'tuple' FROM m, (SELECT unnest([1, 2, 3]) AS p)")(tupled)
+def qualified(s: Star) -> DataFrame:
+    """Nation 3 imports nation 5: calls of suppliers there to exported ones here are named with the module."""
+    apps = s.applications(45)
+    form = s.t("nation").where("n_nationkey = 5").select(F.lit(1).cast("long").alias("form_id"), F.lit(3).alias("file_id"), F.col("n_name").alias("text"))
+    tables = TABLES(s) | {"form": form, "application": apps, "expr": apps.select("expr_id", F.lit("call").alias("value")).distinct()}
+    return transform.eliminate_import(tables, 1)["expr"]
+
+
+query("r05_eliminate_import", f"WITH a AS (SELECT a.l_orderkey * 10 + b.l_linenumber AS expr_id, x.s_nationkey = 3 AND y.s_nationkey = 5 AND y.s_acctbal > 0 AS hit FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN supplier x ON x.s_suppkey = a.l_suppkey JOIN supplier y ON y.s_suppkey = b.l_suppkey WHERE a.l_quantity >= 45 AND b.l_quantity >= 45) SELECT expr_id, CASE WHEN bool_or(hit) THEN (SELECT n_name FROM nation WHERE n_nationkey = 5) || ':call' ELSE 'call' END AS value FROM a GROUP BY 1")(qualified)
 query("r16_move_mac", "SELECT p_partkey AS macro_id, CASE WHEN p_partkey BETWEEN 1 AND 3 THEN 77 ELSE p_size END AS file_id FROM part")(lambda s: transform.move_mac({"macro": s.t("part").select(F.col("p_partkey").alias("macro_id"), F.col("p_size").alias("file_id"))}, [1, 2, 3], 77)["macro"])
 query("r01_upgrade_calls", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 're' ELSE o_orderstatus END AS module FROM orders")(lambda s: transform.upgrade_calls(s.t("orders").select("o_orderkey", F.col("o_orderstatus").alias("module"), F.lit("match").alias("name")), {("F", "match"): ("re", "run")}).select("o_orderkey", "module"))
+
+
+def customers_as(s: Star, key: str) -> DataFrame:
+    return s.t("customer").select(F.col("c_custkey").alias(key), F.col("c_nationkey").alias("file_id"), F.col("c_name").alias("name"))
+
+
+def renamed(key: str, where: str = "c_custkey = 5") -> str:
+    return f"SELECT c_custkey AS {key}, CASE WHEN {where} THEN 'renamed' ELSE c_name END AS name FROM customer"
+
+
+def inlined(s: Star) -> DataFrame:
+    """Nations as macros, customers as expressions that use them or not."""
+    macro = s.t("nation").select(F.col("n_nationkey").cast("long").alias("macro_id"), F.col("n_name").alias("name"), F.concat("n_name", F.lit("!")).alias("text"))
+    uses = s.t("customer").join(s.t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    expr = uses.select(F.col("c_custkey").alias("expr_id"), F.when(F.col("c_acctbal") > 0, "macro").otherwise("expr").alias("kind"), F.col("n_name").alias("value"))
+    return transform.inline_mac({"macro": macro, "expr": expr}, 5)["expr"]
+
+
+def without_variable(s: Star) -> DataFrame:
+    """Suppliers as expressions: 11 to 13 lie inside 10, which is bound to a variable that 20 and 30 refer to."""
+    expr = s.t("supplier").select(F.col("s_suppkey").alias("expr_id"), F.when(F.col("s_suppkey").between(11, 13), 10).cast("long").alias("parent_id"), F.lit("expr").alias("kind"), F.col("s_name").alias("value"))
+    occurs = s.t("supplier").where("s_suppkey IN (10, 20, 30)").select(F.lit(1).alias("var_id"), F.col("s_suppkey").alias("expr_id"), F.when(F.col("s_suppkey") == 10, "binding").otherwise("reference").alias("kind"))
+    return transform.elim_var({"expr": expr, "var_occurrence": occurs, "variable": s.spark.createDataFrame([(1, "X")], "var_id int, name string")}, 1)["expr"]
+
+
+query("r03_inline_mac", "SELECT c_custkey AS expr_id, CASE WHEN c_acctbal > 0 AND n_nationkey = 5 THEN 'inlined' WHEN c_acctbal > 0 THEN 'macro' ELSE 'expr' END AS kind, n_name || CASE WHEN c_acctbal > 0 AND n_nationkey = 5 THEN '!' ELSE '' END AS value FROM customer JOIN nation ON c_nationkey = n_nationkey")(inlined)
+query("r04_elim_var", "WITH b AS (SELECT s_name AS v FROM supplier WHERE s_suppkey = 10), r AS (SELECT s_suppkey AS r FROM supplier WHERE s_suppkey IN (20, 30) AND EXISTS (FROM b)) SELECT s_suppkey AS expr_id, CAST(CASE WHEN s_suppkey BETWEEN 11 AND 13 THEN 10 END AS BIGINT) AS parent_id, 'expr' AS kind, CASE WHEN s_suppkey IN (SELECT r FROM r) THEN (SELECT v FROM b) ELSE s_name END AS value FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY r, s_suppkey), r, 'expr', s_name FROM supplier, r WHERE s_suppkey BETWEEN 11 AND 13")(without_variable)
+query("r08_introduce_import", "SELECT o_orderkey AS form_id, o_custkey AS file_id, 0 AS ord, 'func' AS type, o_orderstatus AS text FROM orders UNION ALL SELECT max(o_orderkey) + 1, 7, 1, 'import', 'lists' FROM orders")(lambda s: transform.introduce_import({"form": s.t("orders").select(F.col("o_orderkey").alias("form_id"), F.col("o_custkey").alias("file_id"), F.lit(0).alias("ord"), F.lit("func").alias("type"), F.col("o_orderstatus").alias("text"))}, 7, "lists")["form"])
+query("r17_move_rec", "SELECT c_custkey AS rec_id, CASE WHEN c_custkey BETWEEN 1 AND 3 THEN 77 ELSE c_nationkey END AS file_id FROM customer")(lambda s: transform.move_rec({"record": customers_as(s, "rec_id")}, [1, 2, 3], 77)["record"].select("rec_id", "file_id"))
+query("r19_rename", renamed("macro_id", "c_custkey = 6"))(lambda s: transform.rename({"macro": customers_as(s, "macro_id")}, "macro", 6, "renamed")["macro"].select("macro_id", "name"))
+query("r21_rename_header", "SELECT n_nationkey AS file_id, CASE WHEN n_nationkey = 5 THEN '/new.hrl' ELSE '/' || r_name || '/' || n_name END AS path FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s: transform.rename_header(TABLES(s), 5, "/new.hrl")["file"])
+query("r22_rename_mac", renamed("macro_id"))(lambda s: transform.rename_mac({"macro": customers_as(s, "macro_id")}, 5, "renamed")["macro"].select("macro_id", "name"))
+query("r24_rename_rec", renamed("rec_id"))(lambda s: transform.rename_rec({"record": customers_as(s, "rec_id")}, 5, "renamed")["record"].select("rec_id", "name"))
+query("r25_rename_recfield", "SELECT c_nationkey AS rec_id, c_custkey AS ord, CASE WHEN c_custkey = 5 THEN 'renamed' ELSE c_name END AS name FROM customer")(lambda s: (lambda f: transform.rename_recfield({"record_field": f}, f.where("ord = 5").first()["rec_id"], 5, "renamed")["record_field"])(s.t("customer").select(F.col("c_nationkey").alias("rec_id"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"))))
+query("r26_rename_var", renamed("var_id"))(lambda s: transform.rename_var({"variable": customers_as(s, "var_id").withColumnRenamed("file_id", "clause_id")}, 5, "renamed")["variable"].select("var_id", "name"))
+
+# Type expressions of ``-spec m:f(integer(), {ok, [atom()]}) -> X :: (true | _)`` and of ``-spec g() -> any()``.
+SPEC_NODES = [
+    (1, None, 0, "module_qualifier", None), (2, 1, 0, "atom", "m"), (3, 1, 1, "atom", "f"), (4, None, 0, "fun_sig", None), (5, 4, 0, "arglist", None), (6, 5, 0, "call", None), (7, 6, 0, "atom", "integer"), (8, 6, 1, "arglist", None),
+    (9, 5, 1, "tuple", None), (10, 9, 0, "atom", "ok"), (11, 9, 1, "list", None), (12, 11, 0, "call", None), (13, 12, 0, "atom", "atom"), (14, 12, 1, "arglist", None), (15, 4, 1, "vardef", None), (16, 15, 0, "variable", "X"), (17, 15, 1, "paren", None),
+    (18, 17, 0, "union", None), (19, 18, 0, "atom", "true"), (20, 18, 1, "joker", None), (21, None, 0, "atom", "g"), (22, None, 0, "fun_sig", None), (23, 22, 0, "arglist", None), (24, 22, 1, "call", None), (25, 24, 0, "atom", "any"), (26, 24, 1, "arglist", None),
+]
+query("t02_specs", "SELECT * FROM (VALUES ('m', 'f', 2, 'f/2 :: (integer(), {ok, [atom()]}) -> true | any()', NULL), ('n', 'g', 0, 'g/0 :: () -> any()', NULL), ('n', 'f', 2, 'f/2 :: (integer(), {ok, [atom()]}) -> true | any()', 'the specification names module m')) v(module, name, arity, signature, warning)")(
+    lambda s: typing.specs(s.spark.createDataFrame([(1, "m", 1, 4), (2, "n", 21, 22), (3, "n", 1, 4)], "form_id long, module string, head_id long, sig_id long"), s.spark.createDataFrame(SPEC_NODES, "id long, parent_id long, ord int, type string, tag string"))
+)

@@ -48,25 +48,32 @@ class Versions:
     """Numbered snapshots of named tables in a folder; undo returns to the one before."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.now = spark, path, 0
+        self.spark, self.path, self.made = spark, path, 0
+        self.numbers: list[int] = []
 
     def commit(self, **tables: DataFrame) -> int:
+        self.made += 1
         for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{self.now + 1}/{name}")
-        self.now += 1
-        return self.now
+            df.write.parquet(f"{self.path}/{self.made}/{name}")
+        self.numbers.append(self.made)
+        return self.made
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.now}/{name}")
+        if not self.numbers:
+            raise ValueError("nothing is stored")
+        return self.spark.read.parquet(f"{self.path}/{self.numbers[-1]}/{name}")
 
     def undo(self) -> int:
-        if self.now <= 1:
+        if len(self.numbers) < 2:
             raise ValueError("nothing to undo")
-        self.now -= 1
-        return self.now
+        self.numbers.pop()
+        return self.numbers[-1]
 
     def reset(self) -> None:
-        self.now = 0
+        """Empty: all snapshots go, files and all; numbers aren't used again."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.numbers = []
 
 
 def drop_file(tables: dict[str, DataFrame], file_id: int) -> dict[str, DataFrame]:

@@ -43,6 +43,15 @@ def upsert(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# The events that browsers are told of.
+TOLD = ("added", "dropped", "error", "content", "rename")
+
+
+def notices(log: DataFrame, events: tuple[str, ...] = TOLD) -> DataFrame:
+    """``(seq, file, event, arg)`` of the events after which a browser loads a file again; works on a stream too."""
+    return log.where(F.col("event").isin(*events)).select("seq", "file", "event", "arg")
+
+
 def throttled(progress: DataFrame, seconds: int = 3) -> DataFrame:
     """One message of each operation for each stretch of seconds, the last: ``progress (op, file, done, total, ts)``."""
     return progress.groupBy("op", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max_by(F.struct("file", "done", "total"), F.struct("ts", "done")).alias("m")).select("op", F.col("w.start").alias("ts"), "m.*")
