@@ -100,4 +100,45 @@ similar_to AS (
 SELECT doc_id, text, lang, source, length(text) AS n_chars, lines_removed FROM cut
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_linededup": LINES_SQL}
+#: Base 32 from the 160 bits of a digest.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS first FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST)),
+b AS (SELECT *, CAST(CAST(unhex(h) AS BIT) AS VARCHAR) AS bits FROM r)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(1, 6), lambda j: CAST(substr(bits, CAST(5 * i + j AS INT), 1) AS INT) * (1 << CAST(5 - j AS INT)))) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to
+FROM b
+"""
+
+#: Rules, and for the rest the scores of the link graph after 100 rounds.
+URL_SQL = """
+WITH RECURSIVE u AS (
+  SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), rules(kind, rule, h, p) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+fits AS (
+  SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(kind, len(rule)) AS said FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1
+), links AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS link FROM u WHERE host <> ''),
+ends AS (
+  SELECT src, CASE WHEN starts_with(link, '//') THEN translate(regexp_extract('x:' || link, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    WHEN lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('http', 'https') THEN translate(regexp_extract(link, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    WHEN regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) = '' THEN src END AS dst FROM links
+), edges AS (SELECT src, dst, count(*) AS n FROM ends WHERE dst <> '' GROUP BY 1, 2),
+share AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS part FROM edges),
+base AS (
+  SELECT host, max(t) AS t, max(d) AS d FROM (
+    SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0 ELSE 0.0 END) AS t, avg(CASE WHEN said = 'block' THEN 1.0 ELSE 0.0 END) AS d FROM u LEFT JOIN fits USING (page_id) WHERE host <> '' GROUP BY 1
+    UNION ALL SELECT unnest([src, dst]), 0, 0 FROM edges) GROUP BY 1
+), steps AS (
+  SELECT src AS sender, dst AS host, part AS ahead, 0 AS back FROM share UNION ALL SELECT dst, src, 0, part FROM share UNION ALL SELECT host, host, 1, 1 FROM base WHERE host NOT IN (SELECT src FROM edges)
+), scores(round, host, t, d) AS (
+  SELECT 0, host, CAST(t AS DOUBLE), CAST(d AS DOUBLE) FROM base
+  UNION ALL
+  SELECT any_value(s.round) + 1, b.host, 0.15 * any_value(b.t) + 0.85 * sum(x.ahead * s.t), 0.15 * any_value(b.d) + 0.85 * sum(x.back * s.d) FROM scores s JOIN steps x ON x.sender = s.host JOIN base b ON b.host = x.host WHERE s.round < 100 GROUP BY b.host
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN d >= 0.5 AND d > t THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fits USING (page_id) LEFT JOIN (SELECT host, t, d FROM scores WHERE round = 100) USING (host)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_linededup": LINES_SQL, "op5_warc": WARC_SQL, "op7_urlfilter": URL_SQL}

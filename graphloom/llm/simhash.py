@@ -1,10 +1,10 @@
 """SimHash near-duplicate detection over a byte-position inverted index.
 
 A fingerprint of 64 bits is eight positional bytes.  Two fingerprints that differ in at most ``k`` bits share at
-least ``8 - k`` positional bytes, the guaranteed minimum.  The index holds, for every choice of that many
-positions, the posting list of each combination of bytes: the intersection of the byte-position lists, so that no
-list grows with the share of one byte.  Pairs met in a list are tallied over all eight positions, kept at the
-minimum, and verified on the bits.
+least ``m = 8 - k`` positional bytes, the guaranteed minimum.  The index holds, for every choice of ``m - 1`` positions, the
+posting list of each combination of bytes: the intersection of that many byte-position lists, so that no list grows with the
+share of one byte.  A pair that shares ``s`` bytes meets in as many lists as ``s`` bytes have choices of ``m - 1``; meetings are
+tallied for each pair, pairs with at least the ``m`` meetings of the minimum are kept, and verified on the bits.
 
 Only distinct fingerprints are indexed, so copies cost one posting.  A list of at most ``SMALL_LIST`` fingerprints
 emits its pairs, at most a fixed number for each posting.  Fingerprints of longer lists (large groups of near copies)
@@ -93,12 +93,6 @@ def _postings(fps: DataFrame, shared: int) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("list"), "fp")
 
 
-def _shared_bytes(x: str, y: str):
-    """The tally of a pair: how many positional bytes agree."""
-    differ = F.col(x).bitwiseXOR(F.col(y))
-    return sum((F.when(differ.bitwiseAND(F.lit(_signed(0xFF << 8 * p))) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
-
-
 def _flips(fps: DataFrame, most: int) -> DataFrame:
     """Rows ``(c, fp)``: each fingerprint with all values within ``most`` (at most 2) bits of it."""
     masks = [0] + [1 << i for i in range(64)] * (most >= 1) + [(1 << i) | (1 << j) for i in range(64) for j in range(i)] * (most >= 2)
@@ -112,7 +106,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     if not 1 <= max_bits <= 3:
         raise ValueError("max_bits is 1, 2 or 3")
     shared = 8 - max_bits
-    postings = _postings(fps, shared)
+    postings = _postings(fps, shared - 1)
     lists = keep(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "lists")
     several = lists.where("n > 2").select("list", "n")
     if several.count() <= BROADCAST_LISTS:
@@ -121,15 +115,12 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     members = longer.where(F.col("n") <= SMALL_LIST).groupBy("list").agg(F.array_sort(F.collect_list("fp")).alias("m"))
     met = members.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
     pairs = lists.where("n = 2").select("a", "b").union(met)
-    near = (
-        pairs.where(_shared_bytes("a", "b") >= shared)
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        .distinct()
-    )
+    tally = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= shared)  # m bytes have m choices of m - 1
+    near = tally.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
     crowded = keep(longer.where(F.col("n") > SMALL_LIST).select("fp").distinct(), "crowded")
     heads = keep(_flips(crowded, max(0, max_bits - 2)).groupBy("c").agg(F.min("fp").alias("a")), "heads")
     around = _flips(crowded, min(2, max_bits)).join(heads, "c").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
-    return near.union(around.where(_shared_bytes("a", "b") >= shared))
+    return near.union(around)
 
 
 def groups(docs: DataFrame, max_bits: int = 3, shingle_words: int = 3, seed: int = 42) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every intermediate result that is read more than once is written as Parquet to the folder named by
 ``spark.checkpoint.dir``; that cuts lineage and survives the loss of an executor.  Only where the setting is
-missing (tests, a laptop) a temporary folder takes its place.
+missing on a local master (tests, a laptop) a temporary folder takes its place; a cluster is refused.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def folder(spark: SparkSession) -> str:
     base = spark.conf.get(_SETTING, None)
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"{_SETTING} has to name a folder that the whole cluster shares")
         base = _own.setdefault(app, tempfile.mkdtemp(prefix="graphloom-"))
     return f"{base.rstrip('/')}/graphloom-{app}"
 

@@ -423,6 +423,37 @@ def test_decontamination_stretches(spark):
 
 
 # -- 7: URLs ----------------------------------------------------------------------------------------------------
+def test_decontamination_recall(spark):
+    """Of the passages that a scan of all diagonals finds, at least nine in ten are found, up to one substitution in five tokens."""
+    rng = random.Random(31)
+    items = [(i, words(rng, rng.randint(25, 60))) for i in range(30)]
+    rows, sure = [], set()
+    for k in range(200):
+        i, text = items[k % 30]
+        w = text.split()
+        for at in rng.sample(range(len(w)), int(len(w) * rng.choice([0.0, 0.05, 0.1, 0.2]))):
+            w[at] = words(rng, 1) + "zz"
+        rows.append((k, words(rng, 40) + " " + " ".join(w) + " " + words(rng, 40)))
+        hashed = [np.array([hash(x) for x in t.lower().split()]) for t in (rows[-1][1], text)]
+        if any(decontam._overlap(*hashed, d) for d in range(-len(hashed[1]), len(hashed[0]))):
+            sure.add((k, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    assert len(sure) > 150 and len(found & sure) >= 0.9 * len(sure) and found <= sure | {(k, i) for k, _ in rows for i, _ in items if k % 30 == i}
+
+
+def test_decontamination_odd_tables(spark):
+    item = words(random.Random(4), 20)
+    bench = spark.createDataFrame([(1, item), (2, None), (None, item), (3, "")], "item_id long, text string")
+    rows = [(1, item), (1, item), (None, "x " + item), (2, None), (3, ""), (4, "clean")]
+    got = decontam.contaminated(frame(spark, rows), bench).collect()
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=order) == sorted([(d, i) for d in (1, 1, None) for i in (1, None)], key=order)
+    left = decontam.remove_contaminated(frame(spark, rows), bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 3, 4] and decontam.contaminated(frame(spark, []), bench).count() == 0
+    assert decontam.contaminated(frame(spark, rows), bench.where("false")).count() == 0
+
+
 def test_url_rules(spark):
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
     cases = {
@@ -707,6 +738,38 @@ def test_pipeline_near_duplicates(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in neardup.keep_one(odd).collect()) == [(-1, "x y"), (-1, "x y"), (3, "x  y")]
 
 
+def test_classifiers_odd_tables(spark):
+    """Empty tables, null and empty texts, repeated rows, null ids and labels of unknown documents."""
+    rng = random.Random(13)
+    rows = [(i, words(rng, 30) + (" vilest cur" if i % 2 else "")) for i in range(80)] + [(None, "x"), (None, None), (500, ""), (500, ""), (501, None), (1, words(rng, 5))]
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(80)] + [(None, 1, 1), (900, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    for docs in (frame(spark, rows), frame(spark, rows).where("false")):
+        for labels in (marks, marks.where("false")):
+            n = docs.count()
+            assert toxicity.toxicity(docs, labels).count() == n and quality.quality(docs, labels).count() == n
+        assert langid.identify(docs).count() == docs.count()
+
+
+def test_sample_bounds(spark):
+    from graphloom.llm import features
+
+    docs = frame(spark, [(i, "x" * 100) for i in range(50)] + [(99, "y" * 5000), (3, "x" * 100)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(99, 1)], "doc_id long, label int")
+    got = features.sample(docs, labels, 10, 1000)
+    assert 19 <= len(got) <= 20 and all(t == "x" * 100 for _, _, t in got) and {k for _, k, _ in got} == {0, 1}
+    assert len(features.sample(docs, labels, 10, 350)) <= 6 and features.sample(docs.where("false"), labels, 10, 350) == []
+
+
+def test_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from graphloom.llm import store
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(applicationId="a", master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        store.folder(cluster)
+
+
 # -- the pipeline -----------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
