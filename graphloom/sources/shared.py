@@ -1,4 +1,5 @@
-"""Intermediate tables in the shared folder of a cluster (``spark.checkpoint.dir``), in a temporary one where unset."""
+"""Intermediate tables in the shared folder of a cluster (``spark.checkpoint.dir``).  Where that is unset a local master takes a
+temporary folder, and a cluster is refused."""
 
 from __future__ import annotations
 
@@ -12,7 +13,11 @@ _own: dict[str, str] = {}
 
 def new_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(app, tempfile.mkdtemp(prefix="graphloom-"))
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+        base = _own.setdefault(app, tempfile.mkdtemp(prefix="graphloom-"))
     return f"{base.rstrip('/')}/graphloom-{app}/{name}-{uuid.uuid4().hex}"
 
 
