@@ -35,6 +35,8 @@ class Star:
         return self._read[name]
 
     def calls(self, q: int) -> DataFrame:
+        """Suppliers of consecutive lines of an order, both of a quantity of at least ``q``: 0 takes all lines; 45 and 48 thin the
+        graph to a few edges a vertex, so that closures and simple paths can be had in SQL too."""
         line = self.t("lineitem").where(F.col("l_quantity") >= q).select("l_orderkey", "l_linenumber", "l_suppkey")
         a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_suppkey").alias("caller"))
         return a.join(line.withColumnRenamed("l_suppkey", "callee"), ["l_orderkey", "l_linenumber"]).where("caller <> callee").select("caller", "callee").distinct()

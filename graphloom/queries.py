@@ -43,7 +43,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.round("value", 2))
 
 
-C45, C48, C50 = (CALLS.format(q=q) for q in (45, 48, 50))
+C45, C48, C50, ALL_CALLS = (CALLS.format(q=q) for q in (45, 48, 50, 0))
 REACH45 = f"WITH RECURSIVE g AS ({C45}), r(a, b) AS (SELECT caller, callee FROM g UNION SELECT r.a, g.callee FROM r JOIN g ON r.b = g.caller)"
 REACH48 = REACH45.replace(C45, C48)
 
@@ -287,6 +287,12 @@ query("d09_block_edges", BLOCK_EDGES)(block_edges)
 NEAR = "WITH RECURSIVE g AS ({}), u AS (SELECT caller AS a, callee AS b FROM g UNION SELECT callee, caller FROM g), r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)".format(C48)
 query("d10_components", f"{NEAR} SELECT a AS node, min(b) AS component FROM (SELECT a, b FROM r UNION SELECT a, a FROM u) GROUP BY 1")(lambda s: graph.components(s.edges(48)))
 query("d10_relations", f"{NEAR}, c AS (SELECT a AS node, min(b) AS component FROM (SELECT a, b FROM r UNION SELECT a, a FROM u) GROUP BY 1) SELECT component, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM c GROUP BY 1 HAVING count(*) > 1")(lambda s: dependencies.relations(s.edges(48)).select("component", F.array_join(F.col("members").cast("array<string>"), ",").alias("members")))
+# The whole graph, all lines of all orders, without thinning.
+query("d10_components_all", NEAR.replace(C48, ALL_CALLS) + " SELECT a AS node, min(b) AS component FROM (SELECT a, b FROM r UNION SELECT a, a FROM u) GROUP BY 1")(lambda s: graph.components(s.edges(0)))
+query("d03_cycle_vertices_all", REACH45.replace(C45, ALL_CALLS) + " SELECT DISTINCT a AS node FROM r WHERE a = b")(lambda s: graph.on_cycles(graph.reach(graph.cyclic_part(s.edges(0)))))
+query("d09_block_edges_all", BLOCK_EDGES.replace(C45, ALL_CALLS))(lambda s: block_edges(s, 0))
+metric("m08_number_of_funpath_all", lambda s: s.call_metrics(0).number_of_funpath(), per_nation(f"SELECT m AS node, count(*) AS value FROM (SELECT m1 AS m FROM ({MOD_CALLS}) UNION ALL SELECT m2 FROM ({MOD_CALLS}) WHERE m1 <> m2) GROUP BY 1".replace(C45, ALL_CALLS)))
+metric("m21_calls_for_function_all", lambda s: s.call_metrics(0).calls_for_function(), "SELECT s_suppkey AS node, count(a) AS value FROM supplier LEFT JOIN (SELECT y.l_suppkey AS a FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1) ON a = s_suppkey GROUP BY 1")
 query("d11_is_relation", f"{NEAR}, c AS (SELECT a AS node, min(b) AS component FROM (SELECT a, b FROM r UNION SELECT a, a FROM u) GROUP BY 1), p AS (SELECT caller, callee FROM g ORDER BY 1, 2 LIMIT 1) SELECT (SELECT count(*) FROM c WHERE component = (SELECT component FROM c JOIN p ON node = caller)) = 2 AS related")(lambda s: (lambda e: (lambda r: s.spark.createDataFrame([(dependencies.is_relation(e, (r["src"], r["dst"])),)], "related boolean"))(e.orderBy("src", "dst").first()))(s.edges(48)))
 def checked(s: Star, edges: DataFrame, cycles: list[list]) -> DataFrame:
     """How many listed steps are no edges, and how many vertices the listed cycles have."""
