@@ -202,8 +202,50 @@ def test_clash(spark):
     assert transform.rename_fun({"func": func}, 1, "h")["func"].where("name = 'h'").count() == 1
 
 
+def test_clash_in_files(spark):
+    macro = spark.createDataFrame([(1, 1, "A", "x"), (2, 1, "B", "y"), (3, 2, "A", "z")], "macro_id long, file_id long, name string, text string")
+    for go in (lambda: transform.rename_mac({"macro": macro}, 1, "B"), lambda: transform.move_mac({"macro": macro}, [1], 2), lambda: transform.rename({"macro": macro}, "macro", 1, "B")):
+        with pytest.raises(transform.Clash):
+            go()
+    assert transform.rename({"macro": macro}, "macro", 3, "B")["macro"].where("file_id = 2").first()["name"] == "B"
+    with pytest.raises(ValueError):
+        transform.rename({"macro": macro}, "clause", 1, "x")
+    expr = spark.createDataFrame([(1, "macro", "A"), (2, "atom", "A")], "expr_id long, kind string, value string")
+    with pytest.raises(transform.Clash):
+        transform.inline_mac({"macro": macro.drop("text"), "expr": expr}, 1)
+    assert [tuple(r) for r in transform.inline_mac({"macro": macro, "expr": expr}, 1)["expr"].orderBy("expr_id").collect()] == [(1, "inlined", "x"), (2, "atom", "A")]
+
+
+def test_roots(spark):
+    parents = {n: n // 2 for n in range(2, 40)} | {100 + n: 99 + n for n in range(1, 20)}
+    found = {r["node"]: r["root"] for r in graph.roots(spark.createDataFrame([(p, n) for n, p in parents.items()], "src long, dst long")).collect()}
+    assert found == {n: 1 if n < 100 else 100 for n in parents}
+    assert graph.roots(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_cyclic_part(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (0, 1), (7, 7), (8, 7)], "src long, dst long")
+    assert {tuple(r) for r in graph.cyclic_part(edges).collect()} == {(1, 2), (2, 3), (3, 1), (7, 7)}
+
+
+def test_versions(spark, tmp_path):
+    from graphloom.sources import dump
+
+    v = dump.Versions(spark, str(tmp_path / "v"))
+    v.commit(t=spark.range(3))
+    v.commit(t=spark.range(5))
+    assert v.table("t").count() == 5 and v.undo() == 1 and v.table("t").count() == 3
+    v.reset()
+    with pytest.raises(ValueError):
+        v.table("t")
+    v.commit(t=spark.range(2))
+    assert v.table("t").count() == 2
+    with pytest.raises(ValueError):
+        v.undo()
+
+
 # -- queries against DuckDB -------------------------------------------------------------------------------------
-SOME = ["q03_chain", "q05_iteration_2", "q08_stat_avg", "q12_like", "q15_in_subquery", "q16_aggregate_subquery", "n08_edge_nth", "m06_included_files", "m08_number_of_funpath", "m14_max_application_depth", "m20_mccabe", "m25_fun_return_points", "d09_block_edges", "g03_keep_nodes", "s02_transitions", "b04_find_node", "io02_load", "io08_add_file", "io09_add_dir", "io14_undo", "a05_avg", "mq07_render", "t01_infer", "r23_rename_mod_file", "e03_throttled", "e04_stream_upsert"]
+SOME = ["r05_eliminate_import", "r13_tuple_arguments", "t02_specs", "m30_is_tail_recursive", "d10_components_all", "m08_number_of_funpath_all", "q03_chain", "q05_iteration_2", "q08_stat_avg", "q12_like", "q15_in_subquery", "q16_aggregate_subquery", "n08_edge_nth", "m06_included_files", "m08_number_of_funpath", "m14_max_application_depth", "m20_mccabe", "m25_fun_return_points", "d09_block_edges", "g03_keep_nodes", "s02_transitions", "b04_find_node", "io02_load", "io08_add_file", "io09_add_dir", "io14_undo", "a05_avg", "mq07_render", "t01_infer", "r23_rename_mod_file", "e03_throttled", "e04_stream_upsert"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
