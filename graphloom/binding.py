@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.metrics import Code, Metrics
 from graphloom.plans.catalog import Catalog
+from graphloom.sources.shared import keep
 
 CALLS = (
     "SELECT DISTINCT a.l_suppkey AS caller, b.l_suppkey AS callee FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 "
@@ -65,7 +66,7 @@ class Star:
         e = self.t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), (F.min("l_quantity").cast("int") % 3 + 1).alias("branches"))
         e = e.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("expr_id"), "l_orderkey", F.col("l_linenumber").alias("ord"), F.expr("CASE f WHEN 'R' THEN 'case_expr' WHEN 'A' THEN 'if_expr' ELSE 'application' END").alias("kind"), "branches")
         above = e.select(F.col("expr_id").alias("parent_id"), "l_orderkey", (F.col("ord") + 3).alias("ord"))
-        e = e.join(above, ["l_orderkey", "ord"], "left")
+        e = keep(e.join(above, ["l_orderkey", "ord"], "left"), "expressions")  # read several times below
         expr = e.select("expr_id", "parent_id", F.when(F.col("parent_id").isNull(), F.col("l_orderkey")).alias("clause_id"), "ord", "kind", F.lit("expr").alias("role"), F.lit(None).cast("string").alias("value"))
         own = self.t("orders").select(F.col("o_orderkey").alias("clause_id"), F.col("o_custkey").alias("owner_id"), F.lit("function").alias("owner_kind"), F.col("o_orderkey").alias("ord"), F.lit("plain").alias("kind"))
         sub = e.where("kind <> 'application'").select("expr_id", "kind", F.explode(F.sequence(F.lit(1), "branches")).alias("k"))
