@@ -99,15 +99,15 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The later lines of the kept pairs whose whole sets, made again from the lines that came first, are similar."""
-        wanted = pairs.select(F.col("x_sid").alias("sid")).union(pairs.select("y_sid")).distinct().join(first, "sid").select("sid", "o.dk", "o.line")
-        whole = keep(words.join(wanted, ["dk", "line"]).select("sid", "w").dropDuplicates(["sid"]), "whole")
+        wanted = keep(pairs.select(F.col("x_sid").alias("sid")).union(pairs.select("y_sid")).distinct().join(first, "sid").select("sid", "o.dk", "o.line"), "wanted")
+        whole = keep(words.join(small(wanted), ["dk", "line"]).select("sid", "w").dropDuplicates(["sid"]), "whole")
         free(spark)
-        both = pairs.join(whole.select(F.col("sid").alias("x_sid"), F.col("w").alias("xw")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("w").alias("yw")), "y_sid")
+        both = small(pairs).join(whole.select(F.col("sid").alias("x_sid"), F.col("w").alias("xw")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("w").alias("yw")), "y_sid")
         both = both.select("x_sid", *(F.array_distinct(_shingles(c, shingle, lambda some: F.xxhash64(*some))).alias(c) for c in ("xw", "yw")))
         common = F.size(F.array_intersect("xw", "yw"))
         shared_by = both.select("x_sid", common.alias("c"), (F.size("xw") + F.size("yw")).alias("n"))
         out = keep(shared_by.where(F.col("c") >= t * (F.col("n") - F.col("c")) - 1e-9).select(F.col("x_sid").alias("sid")).distinct(), "similar")
-        drop(whole)
+        drop(wanted, whole)
         free(spark)
         return out
 
