@@ -43,7 +43,7 @@ def named_cycles(edges: DataFrame, names: DataFrame) -> list[list[str]]:
 def check_module(edges: DataFrame, start) -> bool:
     """Does what ``start`` reaches, itself included, contain a cycle?"""
     below = subgraph(edges, start)
-    return not graph.on_cycles(graph.reach(graph.cyclic_part(below))).isEmpty()
+    return not graph.on_cycles(below).isEmpty()
 
 
 def subgraph(edges: DataFrame, start) -> DataFrame:
@@ -55,8 +55,7 @@ def subgraph(edges: DataFrame, start) -> DataFrame:
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """Edges with a flag for those inside cycles (both ends mutually reachable)."""
-    closed = graph.reach(graph.cyclic_part(edges))
-    back = closed.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct().withColumn("cyclic", F.lit(True))
+    back = graph.within(edges, graph.strong_components(edges)).select("src", "dst", F.lit(True).alias("cyclic"))
     return edges.join(back, ["src", "dst"], "left").select(*edges.columns, F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 

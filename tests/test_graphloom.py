@@ -228,6 +228,31 @@ def test_cyclic_part(spark):
     assert {tuple(r) for r in graph.cyclic_part(edges).collect()} == {(1, 2), (2, 3), (3, 1), (7, 7)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_cycles_without_pairs(spark, monkeypatch, seed):
+    """Cycles are found without the closure, against brute force."""
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(42)} | {(100 + i, 100 + (i + 1) % 9) for i in range(9)} | {(200 + i, 201 + i) for i in range(12)}
+    below = {v: set() for p in pairs for v in p}
+    for _ in below:
+        for a, b in pairs:
+            below[a] |= {b} | below[b]
+    names = {v: min(w for w in below[v] if v in below[w]) for v in below if v in below[v]}
+
+    def none(*_, **__):
+        raise AssertionError("pairs of vertices are made")
+
+    monkeypatch.setattr(graph, "reach", none)
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    assert {r["node"]: r["component"] for r in graph.strong_components(edges).collect()} == names
+    assert {(r["src"], r["dst"]): r["cyclic"] for r in dependencies.cycle_edges(edges).collect()} == {(a, b): a in below[b] for a, b in pairs}
+    assert dependencies.check_module(edges, 100) and not dependencies.check_module(edges, 200)
+    assert graph.on_cycles(edges.where("src >= 200")).isEmpty()
+    cycles = graph.greedy_cycles(edges, max_nodes=max(9, *(list(names.values()).count(n) for n in names.values())))
+    assert [*range(100, 109), 100] in cycles and [c[0] for c in cycles] == sorted(c[0] for c in cycles)
+    assert {v for c in cycles for v in c} == set(names)
+
+
 def test_versions(spark, tmp_path):
     from graphloom.sources import dump
 
