@@ -253,6 +253,47 @@ def test_cycles_without_pairs(spark, monkeypatch, seed):
     assert {v for c in cycles for v in c} == set(names)
 
 
+def test_closure_in_tasks(spark, monkeypatch):
+    """The walk in the tasks and the rounds of joins give the same, for long chains and for names too."""
+    pairs = [(i, i + 1) for i in range(70)] + [(70, 60), (90, 91), (91, 90), (95, 95)]
+    edges = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in pairs], "src string, dst string")
+    starts = spark.createDataFrame([(1, "v0"), (1, "v90"), (2, "v65"), (3, "v95"), (4, "v99"), (5, None)], "origin int, node string")
+    below = {1: {*range(1, 71), 90, 91}, 2: set(range(60, 71)), 3: {95}}
+    want = {(o, f"v{n}") for o, some in below.items() for n in some}
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    few = edges.where("src > 'v6'")
+    joined = sorted(map(tuple, graph.closure(starts, graph.step_over(few)).collect()))
+    monkeypatch.undo()
+    assert sorted(map(tuple, graph.closure(starts, graph.step_over(few)).collect())) == joined
+    step = graph.step_over(edges)
+    rounds = []
+
+    def counted(frontier):
+        rounds.append(frontier)
+        return step(frontier)
+
+    counted.edges = step.edges
+    got = graph.closure(starts, counted).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and not rounds
+    assert graph.closure(starts, graph.step_over(edges.where("false"))).count() == 0
+
+
+def test_longest_paths(spark):
+    """Paths of over 64 edges, and loops with side ways, against a plain search."""
+    rng = random.Random(5)
+    pairs = {(i, i + 1) for i in range(100)} | {(100, 99), (7, 7)} | {(200 + rng.randrange(8), 200 + rng.randrange(8)) for _ in range(16)}
+    ahead = {v: {b for a, b in pairs if a == v} for p in pairs for v in p}
+
+    def deep(v, seen):
+        return max([0, *(1 + deep(w, seen | {w}) for w in ahead[v] if w not in seen)])
+
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    starts = spark.createDataFrame([(v,) for v in [*ahead, 500]], "node long")
+    assert {r["node"]: r["depth"] for r in graph.longest_paths(edges, starts).collect()} == {v: deep(v, {v}) for v in ahead} | {500: 0}
+    with pytest.raises(Exception, match="took over 3 steps"):
+        graph.longest_paths(spark.createDataFrame([(a, b) for a in range(5) for b in range(5)], "src long, dst long"), max_steps=3).collect()
+
+
 def test_versions(spark, tmp_path):
     from graphloom.sources import dump
 
