@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The options of a run and their defaults.
 OPTIONS = {"algorithm": "agglomerative", "entity": "module", "clusters": 4, "linkage": "average", "populations": 4, "generations": 30, "save": False}
-MAX_ITEMS = 20_000
+MAX_ITEMS = 1_000_000
 
 
 def distances(features: DataFrame) -> DataFrame:
@@ -22,6 +26,56 @@ def distances(features: DataFrame) -> DataFrame:
     return met.select("a", "b", (1 - F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("distance"))
 
 
+def _merged(names: list, pairs: Iterable[tuple], clusters: int, linkage: str) -> dict:
+    """Members of each cluster, by its name; ``names`` ascending, ``pairs (a, b, distance)`` with ``a < b``.
+
+    Only pairs that aren't at distance 1 are held, as exact likenesses (one minus the distance, whole numbers over a common
+    power of two), and the nearest pair comes off a heap; so time grows with pairs that share something, not with all.
+    """
+    rows = [(a, b, float(d).as_integer_ratio()) for a, b, d in pairs]
+    whole = max((below for _, _, (_, below) in rows), default=1)
+    near: dict = {i: {} for i in names}
+    groups = {i: [i] for i in names}
+    for a, b, (over, below) in rows:
+        if over != below:
+            near[a][b] = near[b][a] = whole - over * (whole // below)
+    mean = linkage not in ("single", "complete")
+
+    def entry(x, y) -> tuple:
+        x, y = min(x, y), max(x, y)
+        n = len(groups[x]) * len(groups[y]) if mean else 1
+        return ((n * whole - near[x][y]) / whole / n, x, y, len(groups[x]), len(groups[y]))  # the exact sum, rounded
+
+    heap = [entry(x, y) for x in names for y in near[x] if x < y]
+    heapq.heapify(heap)
+    while len(groups) > clusters:
+        while heap and not (heap[0][1] in groups and heap[0][2] in groups and heap[0][3:] == (len(groups[heap[0][1]]), len(groups[heap[0][2]])) and heap[0][2] in near[heap[0][1]]):
+            heapq.heappop(heap)
+        if not heap:  # all are at distance 1, so the first takes the next ones
+            first, *others = groups
+            for y in others[: len(groups) - clusters]:
+                groups[first] += groups.pop(y)
+            break
+        x, y = heap[0][1:3]
+        if heap[0][0] >= 1:  # the first pair in order that shares nothing, if there is one, may come before
+            x, y = min([heap[0][:3], *islice(((1.0, p, q) for p in groups for q in islice(groups, 1, None) if p < q and q not in near[p]), 1)])[1:]
+        groups[x] += groups.pop(y)
+        gone = near.pop(y)
+        for z in gone.keys() | near[x].keys():
+            one, other = near[x].pop(z, 0), gone.get(z, 0)
+            if z in (x, y):
+                continue
+            near[z].pop(y, None)
+            near[z].pop(x, None)
+            both = one + other if mean else max(one, other) if linkage == "single" else min(one, other)
+            if both:
+                near[x][z] = near[z][x] = both
+        near[x].pop(x, None)
+        for z in near[x]:
+            heapq.heappush(heap, entry(x, z))
+    return groups
+
+
 def agglomerate(pairs: DataFrame, items: DataFrame, clusters: int, linkage: str = "average") -> DataFrame:
     """``(item, cluster)``: bottom-up merging of the nearest clusters until ``clusters`` are left; a cluster is named by its
     smallest item, ties go to the smallest names.  Items (at most ``MAX_ITEMS``) are merged in one task."""
@@ -31,18 +85,9 @@ def agglomerate(pairs: DataFrame, items: DataFrame, clusters: int, linkage: str
     rows = pairs.select("a", "b", "distance").union(items.select("item", "item", F.lit(0.0)))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = {i: [i] for i in sorted(pdf.loc[pdf.a == pdf.b, "a"])}
-        far = {(r.a, r.b): r.distance for r in pdf.itertuples() if r.a != r.b}
-        pick = {"single": min, "complete": max}.get(linkage)
-
-        def apart(x: list, y: list) -> float:
-            d = [far.get((min(p, q), max(p, q)), 1.0) for p in x for q in y]
-            return pick(d) if pick else sum(d) / len(d)
-
-        while len(groups) > clusters:
-            names = sorted(groups)
-            _, x, y = min((apart(groups[p], groups[q]), p, q) for i, p in enumerate(names) for q in names[i + 1 :])
-            groups[x] += groups.pop(y)
+        names = sorted(set(pdf.loc[pdf.a == pdf.b, "a"].tolist()))
+        some = pdf[pdf.a != pdf.b]
+        groups = _merged(names, zip(some.a.tolist(), some.b.tolist(), some.distance.tolist(), strict=True), clusters, linkage)
         return pd.DataFrame([(i, name) for name, members in groups.items() for i in members], columns=["item", "cluster"])
 
     return rows.groupBy(F.lit(1).alias("all")).applyInPandas(merge, f"item {kind}, cluster {kind}")

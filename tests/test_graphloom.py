@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.functions import aggregations, text, typing
-from graphloom.operators import dependencies, graph, reduction, transform
+from graphloom.operators import cluster, dependencies, graph, reduction, transform
 from graphloom.operators.metrics import Code, Metrics
 from graphloom.plans import metric_language, semantic
 
@@ -294,6 +294,31 @@ def test_longest_paths(spark):
         graph.longest_paths(spark.createDataFrame([(a, b) for a in range(5) for b in range(5)], "src long, dst long"), max_steps=3).collect()
 
 
+@pytest.mark.parametrize("linkage", ["average", "single", "complete"])
+def test_agglomerate(spark, linkage):
+    """Against a plain search of all pairs, and on 3,000 items."""
+    rng = random.Random(3)
+    for _ in range(40):
+        n, clusters = rng.randrange(2, 14), rng.randrange(1, 4)
+        far = {(a, b): rng.choice([0.0, 0.25, 0.5, 1 / 3, 0.9, 1.0]) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4}
+        groups = {i: [i] for i in range(n)}
+        while len(groups) > clusters:
+
+            def apart(x, y):
+                d = [far.get((min(p, q), max(p, q)), 1.0) for p in groups[x] for q in groups[y]]
+                return {"single": min, "complete": max}.get(linkage, lambda v: sum(v) / len(v))(d)
+
+            _, x, y = min((apart(p, q), p, q) for p in groups for q in groups if p < q)
+            groups[x] += groups.pop(y)
+        got = cluster._merged(list(range(n)), [(a, b, d) for (a, b), d in far.items()], clusters, linkage)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in groups.items()}
+    many = cluster._merged(list(range(3000)), [(i, i + 1, 0.5) for i in range(0, 3000, 2)], 1500, linkage)
+    assert sorted(map(tuple, many.values())) == [(i, i + 1) for i in range(0, 3000, 2)]
+    items = spark.range(5).selectExpr("id AS item")
+    found = cluster.agglomerate(spark.createDataFrame([(3, 4, 0.25)], "a long, b long, distance double"), items, 4, linkage)
+    assert {r["item"]: r["cluster"] for r in found.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_versions(spark, tmp_path):
     from graphloom.sources import dump
 
