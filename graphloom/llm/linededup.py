@@ -3,9 +3,9 @@
 The tokens of a line are the pairs of neighbouring lower-cased words (``shingle`` words in general; a line of fewer words is
 one token).  A global order of tokens puts rare ones first.  Two lines whose sets have a Jaccard similarity of at least ``t``
 share a token among the first ``n - ceil(t n) + 1`` of each (prefix filter); sizes and the places of the shared token bound
-what they can still share (length and positional filters); a parity of 64 bits for each set bounds it too, as a token that only
-one set has changes one bit.  What passes is verified on the whole sets.  A line is removed if it is similar to any line before
-it, in order of document and line.
+what they can still share (length and positional filters); a parity of 64 bits for each set, 128 for long lines, bounds it too, as
+a token that only one set has changes one bit.  What passes is verified on the whole sets.  A line is removed if it is similar to
+any line before it, in order of document and line.
 
 Single words can be tokens too (``shingle=1``), but their number hardly grows with the corpus, so the lists of lines that share
 one do, and the pairs to be looked at with their square; pairs of words stay rare.
@@ -27,6 +27,8 @@ from graphloom.llm.store import drop, free, keep, small
 SHINGLE = 2
 #: Words are counted in 2 ** 17 buckets of their hashes, a table of half a megabyte.  Any order gives the same decisions.
 BUCKET_BITS = 17
+#: Sets of more tokens have a parity of 128 bits instead of 64, which their tokens would fill: ``m`` of all tokens, ``h`` of half.
+LONG_LINE = 30
 SPACES = r"[\t\x0B\f\r]"
 
 
@@ -76,25 +78,32 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
     words = keep(_words(docs), "words", **{"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)})
     levels = _levels(words)
     prefix = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * t - 1e-9).cast("int") + 1)
-    parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    sets = keep(_ordered(words, levels, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), parity.alias("m"), prefix.alias("p")), "sets")
-    first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("m").alias("m")), "first")
+
+    def parity(bit) -> Column:
+        return F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    whole = parity(lambda x: F.lit(1).cast("long"))
+    half = F.when(F.size("s") > LONG_LINE, parity(lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(1).cast("long")))).otherwise(F.lit(0).cast("long"))
+    sets = keep(_ordered(words, levels, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), whole.alias("m"), half.alias("h"), prefix.alias("p")), "sets")
+    first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("h").alias("h")), "first")
 
     postings = sets.select("sid", F.posexplode("p").alias("at", "tok"))
     shared = keep(postings.groupBy("tok").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("tok"), "shared")
     free(spark)
     met = keep(postings.join(small(shared), "tok").groupBy("tok", "sid").agg(F.first("at").alias("at")), "met")
     free(spark)
-    placed = keep(met.join(first.select("sid", "n", "m", "o"), "sid").select("tok", "sid", "n", "m", "at", "o"), "placed")
+    placed = keep(met.join(first.select("sid", "n", "m", "h", "o"), "sid").select("tok", "sid", "n", "m", "h", "at", "o"), "placed")
     drop(shared, met)
     free(spark)
-    x = placed.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "m", "at", "o")))
+    x = placed.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "m", "h", "at", "o")))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose later line passes the length and positional filters with the earlier one, and the parities'."""
         least = t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9
         can = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))  # if the token is the first that they share
-        apart = F.col("x_n") + F.col("y_n") - F.bit_count(F.col("x_m").bitwiseXOR(F.col("y_m")))
+        m, h = (F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")) for c in "mh")
+        odd = F.when(F.least("x_n", "y_n") > LONG_LINE, F.bit_count(h) + F.bit_count(m.bitwiseXOR(h))).otherwise(F.bit_count(m))
+        apart = F.col("x_n") + F.col("y_n") - odd
         return pairs.where((F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n") - 1e-9) & (can >= least) & (apart / 2 >= least)).select("x_sid", "y_sid").distinct()
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -111,12 +120,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
         free(spark)
         return out
 
-    lead = keep(placed.groupBy("tok").agg(F.min(F.struct("o", "sid", "n", "m", "at")).alias("y")), "lead")
-    led = x.join(lead, "tok").where(F.col("x_sid") != F.col("y.sid")).select("x_sid", "x_n", "x_m", "x_at", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "n", "m", "at")))
+    lead = keep(placed.groupBy("tok").agg(F.min(F.struct("o", "sid", "n", "m", "h", "at")).alias("y")), "lead")
+    led = x.join(lead, "tok").where(F.col("x_sid") != F.col("y.sid")).select("x_sid", "x_n", "x_m", "x_h", "x_at", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "n", "m", "h", "at")))
     with_lead = keep(near(led), "pairs")
     early = similar(with_lead)
     left = x.join(early, x["x_sid"] == early["sid"], "left_anti")
-    y = placed.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "m", "at", "o")))
+    y = placed.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "m", "h", "at", "o")))
     with_all = keep(near(left.join(y, "tok").where("y_o < x_o")).join(with_lead, ["x_sid", "y_sid"], "left_anti"), "pairs")
     late = similar(with_all)
 

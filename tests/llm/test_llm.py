@@ -738,6 +738,25 @@ def test_pipeline_near_duplicates(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in neardup.keep_one(odd).collect()) == [(-1, "x y"), (-1, "x y"), (3, "x  y")]
 
 
+def test_long_lines_not_paired(spark, monkeypatch):
+    """Long lines that share tokens but not 80 % are told apart before they are compared."""
+    from graphloom.llm import store
+
+    rng = random.Random(3)
+    few = words(rng, 40).split()
+    docs = frame(spark, [(i, " ".join(rng.choice(few) for _ in range(120))) for i in range(150)])
+    made = []
+
+    def keep(df, name, **options):
+        out = store.keep(df, name, **options)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "keep", keep)
+    assert linededup.removed_lines(docs).count() == 0 and made == [0, 0]
+
+
 def test_classifiers_odd_tables(spark):
     """Empty tables, null and empty texts, repeated rows, null ids and labels of unknown documents."""
     rng = random.Random(13)
