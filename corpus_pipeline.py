@@ -29,9 +29,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 on five-word shingles), that of the smallest id.
+    """One document of each group of near duplicates, that of the smallest id.
 
-    SimHash fingerprints link the first texts, an exact join the rest; all links are verified.  Texts without words are a group
+    SimHash fingerprints link texts within 3 bits, an exact join those of similarity 0.8 on five-word shingles.  Texts without words are a group
     of their own.  Rows of a repeated ``doc_id`` stay or go together; rows without ``doc_id`` stay.
     """
     return neardup.keep_one(docs, threshold=0.8)

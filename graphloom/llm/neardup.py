@@ -1,13 +1,15 @@
-"""Near duplicates of whole texts: SimHash fingerprints find most, an exact similarity join the rest.
-
-Texts whose fingerprints (:mod:`graphloom.llm.simhash`, five-word shingles) are linked are compared first.  A fingerprint within
-3 bits finds only texts that are almost equal, so an exact join by Jaccard similarity goes on from there.  The tokens of a text are the distinct hashes of its shingles of five lower-cased words, across lines (a shorter text is one
-token).  Sets are made, ordered and filtered as for lines (:mod:`graphloom.llm.linededup`): two texts of similarity ``t`` or more
-share a token of their prefixes, and what passes the length and positional filters is verified on the whole sets.  So no pair is
-missed, and those of fingerprints that aren't similar enough are left out.
-
-Groups are connected components of all similar pairs.  Equal sets are one node.  The texts that share a token are first
-compared with one of them; then only pairs that aren't yet connected are.
+"""Near duplicates of whole texts: SimHash fingerprints link texts, an exact similarity join links the rest.
+
+Texts whose fingerprints (:mod:`graphloom.llm.simhash`, five-word shingles, repeats included) differ in at most 3 bits are
+linked, as that operator links them.  As shingles count as often as they occur, these are also texts that repeat the same
+passages and differ in little else, whose sets of shingles may have little in common.  Edited copies are often further apart than
+3 bits, so an exact join by Jaccard similarity goes on from there.  The tokens of a text are the distinct hashes of its shingles
+of five lower-cased words, across lines (a shorter text is one token).  Sets are made, ordered and filtered as for lines
+(:mod:`graphloom.llm.linededup`): two texts of similarity ``t`` or more share a token of their prefixes, and what passes the
+length and positional filters is verified on the whole sets, so no pair is missed.
+
+Groups are connected components of all links of either kind.  Equal sets are one node.  The texts that share a token are first
+compared with one of them, if fingerprints don't link the two; then only pairs that aren't yet connected are.
 """
 
 from __future__ import annotations
@@ -126,22 +128,23 @@ def _rooted(edges: DataFrame) -> DataFrame:
     return keep(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("sid"), F.col("v").alias("root")), "roots")
 
 
-def _by_fingerprint(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+def _by_fingerprint(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of sets whose texts' fingerprints link them: each set with the least of its fingerprint, and those
-    of linked fingerprints with each other."""
+    of linked fingerprints with each other.  A set has a fingerprint for each of its texts, as they may repeat shingles."""
     prints = simhash.fingerprints(rows.select(F.col("dk").alias("doc_id"), "text"), shingle_words=SHINGLE).select(F.col("doc_id").alias("dk"), "fp")
-    known = keep(distinct.select("sid", "dk").join(keep(prints.distinct(), "prints"), "dk").select("sid", "fp"), "fingerprints")
+    known = keep(sets.select("sid", "dk").join(keep(prints.distinct(), "prints"), "dk").select("sid", "fp").distinct(), "fingerprints")
     least = keep(known.groupBy("fp").agg(F.min("sid").alias("a")), "least")
     pairs = simhash.links(least.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
     ends = (least.select(F.col("fp").alias(f), F.col("a").alias(s)) for f, s in (("fa", "x"), ("fb", "y")))
     linked = pairs.join(next(ends), "fa").join(next(ends), "fb").select("x", "y")
     same = known.join(least, "fp").where("sid <> a").select("a", "sid")
-    return linked.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
+    return linked.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
 def groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` of every row of ``docs (doc_id, text)`` with words: texts of similarity ``threshold`` or more
-    are linked, ``component_id`` is the smallest non-null ``doc_id`` reachable, else null."""
+    """``(doc_id, component_id)`` of every row of ``docs (doc_id, text)`` with words: texts whose fingerprints differ in at most
+    3 bits and texts of similarity ``threshold`` or more are linked, ``component_id`` is the smallest non-null ``doc_id``
+    reachable, else null."""
     t, spark = F.lit(threshold), docs.sparkSession
     rows = _one_line(docs)
     places = spark.sparkContext.broadcast(_places(rows))
@@ -174,8 +177,9 @@ def groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     x, y = (met.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "at"))) for s in "xy")
     led = near(x.join(lead.select("tok", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "n", "at"))), "tok").where("x_sid <> y_sid"))
-    led = keep(led.union(_by_fingerprint(rows, distinct)).distinct(), "led")
-    first = similar(led)
+    linked = keep(_by_fingerprint(rows, sets), "linked")
+    led = keep(led.join(linked, ["a", "b"], "left_anti"), "led")
+    first = linked.union(similar(led))
     root = _rooted(first)
     of = lambda s: root.select(F.col("sid").alias(f"{s}_sid"), F.col("root").alias(f"{s}_root"))
     x, y = (side.join(of(s), f"{s}_sid", "left").withColumn(f"{s}_root", F.coalesce(f"{s}_root", f"{s}_sid")) for side, s in ((x, "x"), (y, "y")))
@@ -189,7 +193,7 @@ def groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     least = keep(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     known = keep(joined.join(least, "root").select("sid", "component_id"), "known")
     out = keep(sets.select("doc_id", "sid").join(known, "sid").select("doc_id", "component_id"), "groups")
-    drop(sets, distinct, shared, met, lead, led, apart, joined, least, known)
+    drop(sets, distinct, shared, met, lead, linked, led, apart, joined, least, known)
     free(spark)
     return out
 

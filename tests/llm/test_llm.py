@@ -738,6 +738,23 @@ def test_pipeline_near_duplicates(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in neardup.keep_one(odd).collect()) == [(-1, "x y"), (-1, "x y"), (3, "x  y")]
 
 
+def test_pipeline_near_duplicates_by_fingerprint(spark):
+    """Texts that repeat the same passages have one fingerprint, though their sets of shingles share little."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(22)
+    again = words(rng, 7)  # an odd number of equally frequent shingles: no bit is a tie
+    rows = [(i, " ".join([again] * 400) + " " + words(rng, 12 + i)) for i in (5, 3, 9)]
+    rows += [(1, words(rng, 60)), (2, words(rng, 12)), (7, " ".join([again] * 400))]
+    fps = {i: simhash.fingerprint(text, 5) for i, text in rows}
+    assert all((fps[3] ^ fps[i]).bit_count() <= 3 for i in (5, 7, 9)) and slow_near(rows) == set(fps)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()} == {1, 2, 3}
+    # Texts of one set of shingles, but of different fingerprints: either links what is like it.
+    few, many = " ".join(again.split() * 2 + ["x", "y"]), " ".join([again] * 400 + ["x", "y"])
+    rows = [(4, few), (6, many), (8, " ".join([again] * 400 + ["z"]))]
+    assert slow_near(rows) == {4, 8}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()} == {4}
+
+
 def test_long_lines_not_paired(spark, monkeypatch):
     """Long lines that share tokens but not 80 % are told apart before they are compared."""
     from graphloom.llm import store
