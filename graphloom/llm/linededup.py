@@ -85,26 +85,37 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
     whole = parity(lambda x: F.lit(1).cast("long"))
     half = F.when(F.size("s") > LONG_LINE, parity(lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(1).cast("long")))).otherwise(F.lit(0).cast("long"))
     sets = keep(_ordered(words, levels, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), whole.alias("m"), half.alias("h"), prefix.alias("p")), "sets")
-    first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("h").alias("h")), "first")
+    first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines"), *(F.min(c).alias(c) for c in ("n", "m", "h"))), "first")
 
     postings = sets.select("sid", F.posexplode("p").alias("at", "tok"))
     shared = keep(postings.groupBy("tok").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("tok"), "shared")
     free(spark)
-    met = keep(postings.join(small(shared), "tok").groupBy("tok", "sid").agg(F.first("at").alias("at")), "met")
+    met = keep(postings.join(small(shared), "tok").groupBy("tok", "sid").agg(F.min("at").alias("at")), "met")
     free(spark)
-    placed = keep(met.join(first.select("sid", "n", "m", "h", "o"), "sid").select("tok", "sid", "n", "m", "h", "at", "o"), "placed")
+
+    def likely(n_sum: Column, n_least: Column, n_most: Column, can: Column, m: Column, h: Column) -> Column:
+        """Whether two sets pass the length and positional filters and the parities': of their sizes and of what can be shared
+        from the token on the sum, least and most, and what their parities differ by."""
+        least = t / (1 + t) * n_sum - 1e-9
+        odd = F.when(n_least > LONG_LINE, F.bit_count(h) + F.bit_count(m.bitwiseXOR(h))).otherwise(F.bit_count(m))
+        return (n_least >= t * n_most - 1e-9) & (can >= least) & ((n_sum - odd) / 2 >= least)
+
+    # Most tokens are shared by two sets that have little else in common: these go before any set is looked at again.
+    sized = keep(met.join(first.select("sid", "n", "m", "h"), "sid"), "sized")
+    tally = sized.groupBy("tok").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min(F.col("n") - F.col("at")).alias("can"), F.bit_xor("m").alias("m"), F.bit_xor("h").alias("h"))
+    live = keep(tally.where((F.col("k") > 2) | likely(F.col("n"), F.col("n") - F.col("most"), F.col("most"), F.col("can"), F.col("m"), F.col("h"))).select("tok"), "live")
     drop(shared, met)
     free(spark)
+    placed = keep(sized.join(small(live), "tok").join(first.select("sid", "o"), "sid").select("tok", "sid", "n", "m", "h", "at", "o"), "placed")
+    drop(sized, live)
+    free(spark)
     x = placed.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "m", "h", "at", "o")))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose later line passes the length and positional filters with the earlier one, and the parities'."""
-        least = t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9
         can = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))  # if the token is the first that they share
         m, h = (F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")) for c in "mh")
-        odd = F.when(F.least("x_n", "y_n") > LONG_LINE, F.bit_count(h) + F.bit_count(m.bitwiseXOR(h))).otherwise(F.bit_count(m))
-        apart = F.col("x_n") + F.col("y_n") - odd
-        return pairs.where((F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n") - 1e-9) & (can >= least) & (apart / 2 >= least)).select("x_sid", "y_sid").distinct()
+        return pairs.where(likely(F.col("x_n") + F.col("y_n"), F.least("x_n", "y_n"), F.greatest("x_n", "y_n"), can, m, h)).select("x_sid", "y_sid").distinct()
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The later lines of the kept pairs whose whole sets, made again from the lines that came first, are similar."""

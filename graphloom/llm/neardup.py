@@ -6,7 +6,7 @@ passages and differ in little else, whose sets of shingles may have little in co
 3 bits, so an exact join by Jaccard similarity goes on from there.  The tokens of a text are the distinct hashes of its shingles
 of five lower-cased words, across lines (a shorter text is one token).  Sets are made, ordered and filtered as for lines
 (:mod:`graphloom.llm.linededup`): two texts of similarity ``t`` or more share a token of their prefixes, and what passes the
-length and positional filters is verified on the whole sets, so no pair is missed.
+length and positional filters and that of the parities is verified on the whole sets, so no pair is missed.
 
 Groups are connected components of all links of either kind.  Equal sets are one node.  The texts that share a token are first
 compared with one of them, if fingerprints don't link the two; then only pairs that aren't yet connected are.
@@ -19,7 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import features, simhash
@@ -27,6 +27,8 @@ from graphloom.llm.store import components, drop, free, keep, small
 
 SHINGLE = 5
 BUCKET_BITS = 16
+#: The parity of a set has at least as many bits as tokens, a power of two up to this; more only tell apart less.
+PARITY_BITS = 1 << 16
 #: Bytes of words: all but ASCII white space.
 MEMBER = np.ones(256, bool)
 MEMBER[[9, 10, 11, 12, 13, 32]] = False
@@ -94,6 +96,28 @@ def _sorted_sets(raw: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> tup
     return row, line, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(row)))]), key
 
 
+def _parities(key: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The parity of each set of keys: a token changes one bit, so two sets differ in as many tokens as bits at least.  One of
+    twice as many bits is made comparable by folding it."""
+    n = np.diff(first)
+    bits = np.minimum(64 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64), PARITY_BITS)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    count = np.bincount(np.repeat(begin[:-1], n) + (key & (np.repeat(bits, n) - 1)), minlength=begin[-1])
+    words = np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(begin // 64, pa.int32()), pa.array(words))
+
+
+def _differing(a: str, b: str) -> Column:
+    """How many bits of two parities differ, the longer one folded to the length of the other."""
+    short = F.least(F.size(a), F.size(b))
+
+    def folded(m: str) -> Column:
+        return F.transform(F.slice(m, F.lit(1), short), lambda _, i: F.aggregate(F.sequence(i, F.size(m) - 1, short), F.lit(0).cast("long"), lambda z, j: z.bitwiseXOR(F.get(m, j))))
+
+    plain = F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))).otherwise(F.zip_with(folded(a), folded(b), lambda x, y: x.bitwiseXOR(y)))
+    return F.aggregate(plain, F.lit(0), lambda z, x: z + F.bit_count(x))
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch], places, threshold: float) -> Iterator[pa.RecordBatch]:
     place = places.value
     for batch in batches:
@@ -107,7 +131,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch], places, threshold: float) -> It
             keep_ = np.arange(len(key)) - np.repeat(first[:-1], n) < np.repeat(some, n)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]), pa.int32()), pa.array(key[keep_]))
             at = pa.array(row0 + row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(sid), pa.array(n, pa.int32()), prefix], names=["doc_id", "dk", "line", "sid", "n", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(sid), pa.array(n, pa.int32()), prefix, _parities(key, first)], names=["doc_id", "dk", "line", "sid", "n", "p", "m"])
 
 
 def _whole_rows(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
@@ -148,20 +172,34 @@ def groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     t, spark = F.lit(threshold), docs.sparkSession
     rows = _one_line(docs)
     places = spark.sparkContext.broadcast(_places(rows))
-    sets = keep(rows.mapInArrow(partial(_set_rows, places=places, threshold=threshold), "doc_id long, dk long, line int, sid long, n int, p array<long>"), "sets")
-    distinct = keep(sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("dk").alias("dk")), "distinct")
+    sets = keep(rows.mapInArrow(partial(_set_rows, places=places, threshold=threshold), "doc_id long, dk long, line int, sid long, n int, p array<long>, m array<long>"), "sets")
+    distinct = keep(sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("dk", "n", "m"))), "distinct")
     postings = sets.select("sid", "n", F.posexplode("p").alias("at", "tok"))
     shared = keep(postings.groupBy("tok").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("tok"), "shared")
     free(spark)
-    met = keep(postings.join(small(shared), "tok").groupBy("tok", "sid").agg(F.first("n").alias("n"), F.first("at").alias("at")), "met")
+    every = keep(postings.join(small(shared), "tok").groupBy("tok", "sid").agg(F.min("n").alias("n"), F.min("at").alias("at")), "met")
+    free(spark)
+
+    def likely(n_sum: Column, n_least: Column, n_most: Column, can: Column) -> Column:
+        """Whether two sets pass the length and positional filters, of their sizes and of what can be shared from the token on."""
+        return (n_least >= t * n_most - 1e-9) & (can >= t / (1 + t) * n_sum - 1e-9)
+
+    # Many tokens are shared by two sets only that are too different in size, or share it too late: these go first.
+    tally = every.groupBy("tok").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min(F.col("n") - F.col("at")).alias("can"))
+    live = keep(tally.where((F.col("k") > 2) | likely(F.col("n"), F.col("n") - F.col("most"), F.col("most"), F.col("can"))).select("tok"), "live")
+    met = keep(every.join(small(live), "tok"), "met")
+    drop(shared, every, live)
     lead = keep(met.groupBy("tok").agg(F.min(F.struct("sid", "n", "at")).alias("y")), "lead")
     free(spark)
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)`` that pass the length and positional filters."""
-        least = t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9
+        """Pairs ``(a, b)`` that pass the length and positional filters, and the parities'."""
         can = 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
-        return pairs.where((F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n") - 1e-9) & (can >= least)).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
+        some = pairs.where(likely(F.col("x_n") + F.col("y_n"), F.least("x_n", "y_n"), F.greatest("x_n", "y_n"), can))
+        some = keep(some.select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct(), "candidates")
+        x, y = (distinct.select(F.col("sid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in "nm")) for s in "ab")
+        n = F.col("a_n") + F.col("b_n")
+        return small(some).join(x, "a").join(y, "b").where((n - _differing("a_m", "b_m")) / 2 >= t / (1 + t) * n - 1e-9).select("a", "b")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets, made again from one text of each, are similar."""
@@ -193,7 +231,7 @@ def groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     least = keep(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     known = keep(joined.join(least, "root").select("sid", "component_id"), "known")
     out = keep(sets.select("doc_id", "sid").join(known, "sid").select("doc_id", "component_id"), "groups")
-    drop(sets, distinct, shared, met, lead, linked, led, apart, joined, least, known)
+    drop(sets, distinct, met, lead, linked, led, apart, joined, least, known)
     free(spark)
     return out
 

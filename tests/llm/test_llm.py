@@ -755,6 +755,61 @@ def test_pipeline_near_duplicates_by_fingerprint(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()} == {4}
 
 
+@pytest.mark.parametrize("n", [1, 40, 64, 65, 500, 3000])
+def test_parities(spark, n):
+    """Parities differ in at most as many bits as the sets, and tell unlike sets apart, in sizes of which one is folded too."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(n)
+    base = rng.integers(-(1 << 63), 1 << 63, n)
+    sets = [base, base[: max(1, n * 9 // 10)], np.append(base, rng.integers(0, 1 << 63, n // 4)), rng.integers(0, 1 << 63, n), np.append(base, rng.integers(0, 1 << 63, 3 * n))]
+    m = neardup._parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])).to_pylist()
+    rows = [(i, j, m[i], m[j]) for i in range(5) for j in range(5)]
+    got = {(r["i"], r["j"]): r["d"] for r in spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>").select("i", "j", neardup._differing("a", "b").alias("d")).collect()}
+    for (i, j), d in got.items():
+        assert d <= len(set(sets[i].tolist()) ^ set(sets[j].tolist())) and d == got[j, i]
+    assert got[0, 0] == 0 and (n < 40 or got[0, 3] > 2 * n / 9)
+
+
+def test_lines_of_tokens_in_two_sets(spark, monkeypatch):
+    """Lines that share tokens with one other line that isn't like them are dropped before their first lines are looked up."""
+    from graphloom.llm import store
+
+    rng = random.Random(6)
+    rows = [(i, words(rng, 6) + f" rare{i // 2} pair{i // 2} " + words(rng, 6 + 20 * (i % 2))) for i in range(80)]
+    rows += [(100, rows[0][1]), (101, rows[1][1] + " else")]
+    want, sizes = slow_lines(rows), []
+
+    def keep(df, name, **options):
+        out = store.keep(df, name, **options)
+        if name == "placed":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "keep", keep)
+    got = {r["doc_id"]: r["lines_removed"] for r in linededup.dedup(frame(spark, rows)).collect()}
+    assert got == {i: len(want[i]) for i, _ in rows} and sum(got.values()) == 2 and sizes[0] < 30
+
+
+def test_long_texts_not_paired(spark, monkeypatch):
+    """Texts that share some shingles but not 80 % are told apart before their sets are made again."""
+    from graphloom.llm import store
+
+    rng = random.Random(4)
+    passage = words(rng, 300)
+    docs, sizes = frame(spark, [(i, passage + " " + words(rng, 300 + i)) for i in range(60)]), []
+
+    def keep(df, name, **options):
+        out = store.keep(df, name, **options)
+        if name == "wanted":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "keep", keep)
+    assert neardup.keep_one(docs).count() == 60 and sizes == [0, 0]
+
+
 def test_long_lines_not_paired(spark, monkeypatch):
     """Long lines that share tokens but not 80 % are told apart before they are compared."""
     from graphloom.llm import store
