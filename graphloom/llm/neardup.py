@@ -27,6 +27,8 @@ from graphloom.llm.store import components, drop, free, keep, small
 
 SHINGLE = 5
 BUCKET_BITS = 16
+#: Texts hashed at a time: a quarter of the usual, as each token takes several arrays here.
+SLICE_BYTES = 512 << 10
 #: The parity of a set has at least as many bits as tokens, a power of two up to this; more only tell apart less.
 PARITY_BITS = 1 << 16
 #: Bytes of words: all but ASCII white space.
@@ -65,7 +67,7 @@ def _hashed(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
-        for _, raw, offsets in features.slices(batch.column(0), lower=True):
+        for _, raw, offsets in features.slices(batch.column(0), SLICE_BYTES, lower=True):
             h = _hashed(raw, offsets)[3]
             found += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(found))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["b", "n"])
@@ -121,7 +123,7 @@ def _differing(a: str, b: str) -> Column:
 def _set_rows(batches: Iterator[pa.RecordBatch], places, threshold: float) -> Iterator[pa.RecordBatch]:
     place = places.value
     for batch in batches:
-        for row0, raw, offsets in features.slices(batch.column(2), lower=True):
+        for row0, raw, offsets in features.slices(batch.column(2), SLICE_BYTES, lower=True):
             row, line, first, key = _sorted_sets(raw, offsets, place)
             n = np.diff(first)
             with np.errstate(over="ignore"):
@@ -136,7 +138,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch], places, threshold: float) -> It
 
 def _whole_rows(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row0, raw, offsets in features.slices(batch.column(1), lower=True):
+        for row0, raw, offsets in features.slices(batch.column(1), SLICE_BYTES, lower=True):
             row, _, first, key = _sorted_sets(raw, offsets, places.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row0 + row)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(key))], names=["sid", "s"])
 
