@@ -1,4 +1,4 @@
-"""Line deduplication by an exact set-similarity join, with DataFrame functions only.
+"""Line deduplication by an exact set-similarity join, without Python; loops over tokens are compiled (:mod:`graphloom.llm.loops`).
 
 The tokens of a line are the pairs of neighbouring lower-cased words (``shingle`` words in general; a line of fewer words is
 one token).  A global order of tokens puts rare ones first.  Two lines whose sets have a Jaccard similarity of at least ``t``
@@ -10,8 +10,8 @@ any line before it, in order of document and line.
 Single words can be tokens too (``shingle=1``), but their number hardly grows with the corpus, so the lists of lines that share
 one do, and the pairs to be looked at with their square; pairs of words stay rare.
 
-How it stays linear: words are hashed once and kept as arrays of 32-bit numbers; equal sets are collapsed first and only their
-first line is compared; rarity comes from counts of all words in a fixed number of hash buckets, so the order is a table of
+How it stays linear: lines are read from the documents again where they are needed, which takes less than keeping their words;
+equal sets are collapsed first and only their first line is compared; rarity comes from counts of all words in a fixed number of hash buckets, so the order is a table of
 fixed size that any task can hold, and frequent tokens stay out of prefixes; only tokens that two different sets share are
 looked up again.  Where a token is in very many prefixes, its lines are first compared with the earliest of them, which is
 enough to remove most; only lines that are still there are compared with all earlier ones.
@@ -19,9 +19,13 @@ enough to remove most; only lines that are still there are compared with all ear
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.loops import each
 from graphloom.llm.store import drop, free, keep, small
 
 SHINGLE = 2
@@ -29,31 +33,44 @@ SHINGLE = 2
 BUCKET_BITS = 17
 #: Sets of more tokens have a parity of 128 bits instead of 64, which their tokens would fill: ``m`` of all tokens, ``h`` of half.
 LONG_LINE = 30
-SPACES = r"[\t\x0B\f\r]"
+SPACES = "\t\x0b\f\r"
 
 
 def _plain(text: Column) -> Column:
-    return F.when(text.rlike(SPACES), F.regexp_replace(text, SPACES, " ")).otherwise(text)
+    held = reduce(or_, (text.contains(x) for x in SPACES))
+    return F.when(held, F.translate(text, SPACES, " " * len(SPACES))).otherwise(text)
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """``(doc_id, dk, line, w)``: every line with words and the hashes of its words in order; ``dk`` stands for the row's id and
-    text."""
+def _lines(docs: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, dk, line, words)``: every line with words; ``dk`` stands for the row's id and text.  ``within``: a small table
+    of the ``dk`` to look at."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), _plain(F.lower("text")).alias("text"))
-    lines = rows.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("line", "words")).where(F.trim("words") != "")
-    return lines.select("doc_id", "dk", "line", F.transform(F.array_remove(F.split("words", " ", -1), ""), lambda w: F.hash(w)).alias("w"))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), "text")
+    if within is not None:
+        rows = rows.join(F.broadcast(within.select("dk")), "dk", "left_semi")
+    rows = rows.select("doc_id", "dk", F.lower(_plain(F.col("text"))).alias("text"))
+    return rows.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("line", "words")).where(F.trim("words") != "")
+
+
+def _hashes(words: str) -> Column:
+    """The hashes of a line's words in order."""
+    return each(F.array_remove(F.split(words, " ", -1), ""), "string", lambda w: F.hash(w))
 
 
 def _shingles(words: str, shingle: int, token) -> Column:
     """``token(words)`` of each shingle; beyond the end its words are null, so a line of fewer words is one token."""
-    begin = F.slice(words, F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
-    return F.transform(begin, lambda x, i: token([x, *(F.get(F.col(words), i + j) for j in range(1, shingle))]))
+    n = F.greatest(F.size(words) - (shingle - 1), F.lit(1))
+    near = F.arrays_zip(*(F.slice(words, F.lit(j + 1), n).alias(f"w{j}") for j in range(shingle)))
+    return each(near, ", ".join(f"w{j} int" for j in range(shingle)), lambda x: token([x[f"w{j}"] for j in range(shingle)]))
 
 
-def _levels(words: DataFrame) -> DataFrame:
+def _levels(lines: DataFrame) -> DataFrame:
     """One row with the level of each bucket of word hashes: the logarithm of how often its words occur, in 16ths."""
-    met = words.select(F.explode("w").alias("w")).groupBy(F.shiftrightunsigned("w", 32 - BUCKET_BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    words = lines.select(F.explode(F.split("words", " ", -1)).alias("w")).where("w <> ''").select(F.shiftrightunsigned(F.hash("w"), 32 - BUCKET_BITS).alias("b"))
+    # Four buckets are counted in a row, so all rows fit into the small table that Spark's generated code looks into first.
+    each_of = [F.sum((F.col("b").bitwiseAND(F.lit(3)) == i).cast("long")).alias(f"n{i}") for i in range(4)]
+    met = words.groupBy(F.shiftright("b", 2).alias("b")).agg(*each_of).select("b", F.array("n0", "n1", "n2", "n3").alias("n"))
+    met = met.select(F.col("b"), F.posexplode("n").alias("i", "n")).select((F.col("b") * 4 + F.col("i")).alias("b"), "n")
     every = words.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     level = every.union(met).groupBy("b").agg(F.round(16 * F.log1p(F.sum("n"))).cast("int").alias("level"))
     return keep(level.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "level"))), lambda x: x["level"]).alias("level")), "levels")
@@ -74,9 +91,8 @@ def _ordered(words: DataFrame, levels: DataFrame, shingle: int) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
     """``(dk, line)`` of the lines to remove; ``dk`` is ``xxhash64(doc_id, text)``."""
     t, spark = F.lit(threshold), docs.sparkSession
-    # Word hashes repeat, so a large dictionary makes them small.
-    words = keep(_words(docs), "words", **{"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)})
-    levels = _levels(words)
+    lines = _lines(docs)
+    levels = _levels(lines)
     prefix = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * t - 1e-9).cast("int") + 1)
 
     def parity(bit) -> Column:
@@ -84,13 +100,19 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
 
     whole = parity(lambda x: F.lit(1).cast("long"))
     half = F.when(F.size("s") > LONG_LINE, parity(lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(1).cast("long")))).otherwise(F.lit(0).cast("long"))
+    words = lines.select("doc_id", "dk", "line", _hashes("words").alias("w"))
     sets = keep(_ordered(words, levels, shingle).select("doc_id", "dk", "line", F.xxhash64("s").alias("sid"), F.size("s").alias("n"), whole.alias("m"), half.alias("h"), prefix.alias("p")), "sets")
-    first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines"), *(F.min(c).alias(c) for c in ("n", "m", "h"))), "first")
+    first = keep(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "dk", "line")).alias("o"), F.count(F.lit(1)).alias("lines"), *(F.min(c).alias(c) for c in ("n", "m", "h")), F.first("p").alias("p")), "first")
+    free(spark)
 
-    postings = sets.select("sid", F.posexplode("p").alias("at", "tok"))
-    shared = keep(postings.groupBy("tok").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("tok"), "shared")
+    # The smaller of two similar sets has a shared token in a still shorter prefix; ``k`` counts the sets of a token, and in
+    # its upper half those that have it there.
+    early = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9)
+    postings = first.select("sid", "n", "m", "h", "o", F.posexplode("p").alias("at", "tok"))
+    tokens = postings.groupBy("tok").agg(F.sum(F.when(early, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("long"))).alias("k"))
+    shared = keep(tokens.where((F.col("k") >= F.lit(1 << 32)) & (F.col("k").bitwiseAND(F.lit((1 << 32) - 1)) > 1)).select("tok"), "shared")
     free(spark)
-    met = keep(postings.join(small(shared), "tok").groupBy("tok", "sid").agg(F.min("at").alias("at")), "met")
+    sized = keep(postings.join(small(shared), "tok").select("tok", "sid", "n", "m", "h", "at", "o"), "sized")
     free(spark)
 
     def likely(n_sum: Column, n_least: Column, n_most: Column, can: Column, m: Column, h: Column) -> Column:
@@ -101,12 +123,11 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
         return (n_least >= t * n_most - 1e-9) & (can >= least) & ((n_sum - odd) / 2 >= least)
 
     # Most tokens are shared by two sets that have little else in common: these go before any set is looked at again.
-    sized = keep(met.join(first.select("sid", "n", "m", "h"), "sid"), "sized")
     tally = sized.groupBy("tok").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min(F.col("n") - F.col("at")).alias("can"), F.bit_xor("m").alias("m"), F.bit_xor("h").alias("h"))
     live = keep(tally.where((F.col("k") > 2) | likely(F.col("n"), F.col("n") - F.col("most"), F.col("most"), F.col("can"), F.col("m"), F.col("h"))).select("tok"), "live")
-    drop(shared, met)
+    drop(shared)
     free(spark)
-    placed = keep(sized.join(small(live), "tok").join(first.select("sid", "o"), "sid").select("tok", "sid", "n", "m", "h", "at", "o"), "placed")
+    placed = keep(sized.join(small(live), "tok"), "placed")
     drop(sized, live)
     free(spark)
     x = placed.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "m", "h", "at", "o")))
@@ -120,12 +141,11 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
     def similar(pairs: DataFrame) -> DataFrame:
         """The later lines of the kept pairs whose whole sets, made again from the lines that came first, are similar."""
         wanted = keep(pairs.select(F.col("x_sid").alias("sid")).union(pairs.select("y_sid")).distinct().join(first, "sid").select("sid", "o.dk", "o.line"), "wanted")
-        whole = keep(words.join(small(wanted), ["dk", "line"]).select("sid", "w").dropDuplicates(["sid"]), "whole")
+        few = small(wanted) is not wanted
+        whole = keep(_lines(docs, wanted if few else None).join(small(wanted), ["dk", "line"]).select("sid", "words").dropDuplicates(["sid"]).select("sid", _hashes("words").alias("w")).select("sid", F.array_distinct(_shingles("w", shingle, lambda some: F.xxhash64(*some))).alias("s")), "whole")
         free(spark)
-        both = small(pairs).join(whole.select(F.col("sid").alias("x_sid"), F.col("w").alias("xw")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("w").alias("yw")), "y_sid")
-        both = both.select("x_sid", *(F.array_distinct(_shingles(c, shingle, lambda some: F.xxhash64(*some))).alias(c) for c in ("xw", "yw")))
-        common = F.size(F.array_intersect("xw", "yw"))
-        shared_by = both.select("x_sid", common.alias("c"), (F.size("xw") + F.size("yw")).alias("n"))
+        both = small(pairs).join(whole.select(F.col("sid").alias("x_sid"), F.col("s").alias("xs")), "x_sid").join(whole.select(F.col("sid").alias("y_sid"), F.col("s").alias("ys")), "y_sid")
+        shared_by = both.select("x_sid", F.size(F.array_intersect("xs", "ys")).alias("c"), (F.size("xs") + F.size("ys")).alias("n"))
         out = keep(shared_by.where(F.col("c") >= t * (F.col("n") - F.col("c")) - 1e-9).select(F.col("x_sid").alias("sid")).distinct(), "similar")
         drop(wanted, whole)
         free(spark)
@@ -134,18 +154,18 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGL
     lead = keep(placed.groupBy("tok").agg(F.min(F.struct("o", "sid", "n", "m", "h", "at")).alias("y")), "lead")
     led = x.join(lead, "tok").where(F.col("x_sid") != F.col("y.sid")).select("x_sid", "x_n", "x_m", "x_h", "x_at", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "n", "m", "h", "at")))
     with_lead = keep(near(led), "pairs")
-    early = similar(with_lead)
-    left = x.join(early, x["x_sid"] == early["sid"], "left_anti")
+    soon = similar(with_lead)
+    left = x.join(soon, x["x_sid"] == soon["sid"], "left_anti")
     y = placed.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "m", "h", "at", "o")))
     with_all = keep(near(left.join(y, "tok").where("y_o < x_o")).join(with_lead, ["x_sid", "y_sid"], "left_anti"), "pairs")
     late = similar(with_all)
 
     # Every line of a set that resembles an earlier one goes; of the others all but the first line.
-    gone = early.union(late).distinct()
+    gone = soon.union(late).distinct()
     repeated = first.where("lines > 1").select("sid", F.struct("o.dk", "o.line").alias("keep"))
     fate = repeated.join(gone.withColumn("all", F.lit(True)), "sid", "full").select("sid", "keep", F.coalesce("all", F.lit(False)).alias("all"))
     out = keep(sets.select("sid", "dk", "line").join(fate, "sid").where(F.col("all") | (F.struct("dk", "line") != F.col("keep"))).select("dk", "line"), "removed-lines")
-    drop(words, levels, placed, lead, with_lead, with_all, early, late, first, sets)
+    drop(levels, placed, lead, with_lead, with_all, soon, late, first, sets)
     free(spark)
     return out
 

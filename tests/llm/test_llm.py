@@ -318,6 +318,24 @@ def test_lines_run_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("shingle", [1, 2, 3])
+def test_tokens_of_lines_are_compiled(spark, shingle):
+    """Words are hashed and joined to tokens by generated code, an interpreted lambda takes several times the CPU seconds.  The
+    tokens are those of ``transform``."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(shingle)
+    texts = [words(rng, n) for n in (1, 2, 3, 30)] + ["A  b\tC b a", "é é é é", "\x0b", ""]
+    lines = linededup._lines(frame(spark, list(enumerate(texts)))).select("doc_id", "words", linededup._hashes("words").alias("w"))
+    got = lines.select("doc_id", "w", linededup._shingles("w", shingle, lambda some: F.xxhash64(*some)).alias("s"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "mapobjects" in plan and "lambdafunction" not in plan
+    hashed = lines.select("doc_id", F.transform(F.array_remove(F.split("words", " "), ""), lambda x: F.hash(x)).alias("w"))
+    begin = F.slice("w", F.lit(1), F.greatest(F.size("w") - (shingle - 1), F.lit(1)))
+    want = hashed.select("doc_id", "w", F.transform(begin, lambda x, i: F.xxhash64(x, *(F.get("w", i + j) for j in range(1, shingle)))).alias("s"))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 6
+
+
 # -- 5: WARC ----------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc(spark, tmp_path, compression):
