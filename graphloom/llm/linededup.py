@@ -180,8 +180,8 @@ def dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE) -> Da
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = removed_lines(docs, threshold, shingle)
-    by_row = out.groupBy("dk").agg(F.collect_set("line").alias("_lines")).select(F.col("dk").alias("_dk"), "_lines")
-    marked = docs.withColumn("_key", key).join(by_row, F.col("_key") == F.col("_dk"), "left")
+    by_row = keep(out.groupBy("dk").agg(F.collect_set("line").alias("_lines")).select(F.col("dk").alias("_dk"), "_lines"), "by-row")
+    marked = docs.withColumn("_key", key).join(small(by_row), F.col("_key") == F.col("_dk"), "left")
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col("_lines"), i)), "\n"))
     cut = marked.withColumn("text", text).withColumn("lines_removed", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")))
     if "n_chars" in docs.columns:
