@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.functions import aggregations, text, typing
-from graphloom.operators import cluster, dependencies, graph, reduction, transform
+from graphloom.operators import cluster, dependencies, graph, longest, reduction, transform
 from graphloom.operators.metrics import Code, Metrics
 from graphloom.plans import metric_language, semantic
 
@@ -294,6 +294,38 @@ def test_longest_paths(spark):
         graph.longest_paths(spark.createDataFrame([(a, b) for a in range(5) for b in range(5)], "src long, dst long"), max_steps=3).collect()
 
 
+def test_longest_paths_programs(spark):
+    """A component too large for a search, with a ring through all of its vertices, and one before and one behind it."""
+    rng = random.Random(4)
+    pairs = {(i, (i + 1) % 60) for i in range(60)} | {(rng.randrange(60), rng.randrange(60)) for _ in range(90)}
+    edges = spark.createDataFrame(sorted(pairs | {(100, 7), (60, 61), (9, 60)}), "src long, dst long")
+    got = {r["node"]: r["depth"] for r in graph.longest_paths(edges, max_steps=3_000_000).collect()}
+    assert got[100] == 1 + got[7] and got[60] == 1 and got[10] == 61 and min(got[v] for v in range(60)) >= 59 and max(got.values()) <= 62
+
+
+def test_longest_programs_as_searched():
+    """Linear programs against the search, on components with chains and ways out."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        ahead: dict = {v: [] for v in range(rng.randrange(2, 16))}
+        for v in list(ahead):
+            for _ in range(rng.randrange(1, 4)):
+                at, between = v, rng.choice([0, 0, 1, 3])
+                for _ in range(between):
+                    ahead[at].append(len(ahead))
+                    at = len(ahead)
+                    ahead[at] = []
+                ahead[at].append(rng.choice([w for w in list(ahead) if w != at]))
+        for part in graph._parts(ahead):
+            if len(part) > 1:
+                of = {v: i for i, v in enumerate(part)}
+                inside = [sorted({of[w] for w in ahead[v] if w in of}) for v in part]
+                beyond = [rng.choice([0, 0, 0, 1, 4]) for _ in part]
+                chains = longest.Chains(inside, beyond)
+                want = graph._inside([sum(1 << w for w in ws) for ws in inside], beyond, 10**8)
+                assert longest.depths(chains, list(range(len(chains.nodes)))) == dict(enumerate(want))
+
+
 @pytest.mark.parametrize("linkage", ["average", "single", "complete"])
 def test_agglomerate(spark, linkage):
     """Against a plain search of all pairs, and on 3,000 items."""
