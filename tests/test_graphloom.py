@@ -278,6 +278,34 @@ def test_closure_in_tasks(spark, monkeypatch):
     assert graph.closure(starts, graph.step_over(edges.where("false"))).count() == 0
 
 
+def test_listed_cycles_look_at_little():
+    """The shortest cycles of a large component, first in order, without looking at most of it for each."""
+
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    rng = random.Random(8)
+    for n in (3, 12, 3000):
+        ahead = {v: sorted({(v + 1) % n, *(rng.randrange(n) for _ in range(3 * (n > 3)))} - {v}) for v in range(n)}
+        Counted.looked = 0
+        cycles = graph._listed(Counted(ahead))
+        assert Counted.looked < 150 * n
+        assert {v for c in cycles for v in c} == set(ahead) and all(b in ahead[a] for c in cycles for a, b in zip(c, c[1:], strict=False))
+        if n < 100:
+            seen: set = set()
+            for c in cycles:
+                assert c[0] == min(set(ahead) - seen)
+                paths = [[c[0]]]
+                while not (closed := [[*p, c[0]] for p in paths if c[0] in ahead[p[-1]]]):
+                    paths = [[*p, w] for p in paths for w in ahead[p[-1]] if w not in p]
+                assert c == min(closed)
+                seen |= set(c)
+
+
 def test_longest_paths(spark):
     """Paths of over 64 edges, and loops with side ways, against a plain search."""
     rng = random.Random(5)
